@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import op6_mixing, op8_quality_rules, op10_line_dedup
+from . import op2_token_store, op6_mixing, op8_quality_rules, op9_packing, op10_line_dedup
 
 QUERIES = {
+    "op2_token_store": op2_token_store.op2_token_store,
     "op6_mixing_sources": op6_mixing.op6_mixing_sources,
     "op8_quality_rules": op8_quality_rules.op8_quality_rules,
+    "op9_best_fit_packing": op9_packing.op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
 }
 
