@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import op2_token_store, op6_mixing, op8_quality_rules, op9_packing, op10_line_dedup
+from . import op1_warc, op2_token_store, op6_mixing, op8_quality_rules, op9_packing, op10_line_dedup
 
 QUERIES = {
+    "op1_warc": op1_warc.op1_warc,
     "op2_token_store": op2_token_store.op2_token_store,
     "op6_mixing_sources": op6_mixing.op6_mixing_sources,
     "op8_quality_rules": op8_quality_rules.op8_quality_rules,
@@ -12,4 +13,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
 }
 
-ORACLE_SQL = {"op8_quality_rules": op8_quality_rules.ORACLE, "op10_line_dedup": op10_line_dedup.ORACLE}
+ORACLE_SQL = {"op1_warc": op1_warc.ORACLE, "op8_quality_rules": op8_quality_rules.ORACLE, "op10_line_dedup": op10_line_dedup.ORACLE}

@@ -53,7 +53,7 @@ def write_file(uri: str, chunks) -> int:
     fs, path = filesystem(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part, n = f"{path}.{uuid.uuid4().hex}.part", 0
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         for chunk in chunks:
             n += out.write(chunk)
     fs.move(part, path)
