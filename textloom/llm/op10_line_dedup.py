@@ -57,9 +57,10 @@ def dedup_lines(docs: DataFrame, w: int = 2, k: int = 2) -> DataFrame:
     home = run_dir(docs.sparkSession, "lines")
     gone = settle(repeated_lines(docs, w, k, home), f"{home}/gone").withColumnsRenamed({"doc_id": "_id", "thash": "_hash", "at": "_at"})
     rows = docs.withColumn("_thash", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_thash"] == gone["_hash"]), "left")
+    # always by sorting: whether the deletions fit a broadcast must not decide how much the texts move
+    rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_thash"] == gone["_hash"]), "left")
     held = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), x.rlike(r"[^\x20\x09-\x0D]").alias("full")))
-    # number the non-blank lines by the position of each among the places of all of them
+
     def left(lines: Column) -> Column:
         places = F.filter(F.transform(lines, lambda v, i: F.when(v["full"], i).otherwise(-1)), lambda i: i >= 0)
         cut = lambda pl: F.transform(F.col("_at"), lambda p: F.get(pl, p - 1))
