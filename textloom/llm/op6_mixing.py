@@ -122,7 +122,7 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.max("taken").alias("taken"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("m_id")) & (size == F.col("m_size")))
+    rows = docs.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (size == F.col("m_size")))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("m_size")).cast("int"))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("m_size")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left.cast("int")), "")

@@ -123,7 +123,7 @@ def rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = verdict.select(F.col("doc_id").alias("k_id"), F.col("host").alias("k_host"), F.col("thash").alias("k_thash"))
     keep = keep.join(drop, F.col("k_host").eqNullSafe(F.col("d_host")) & (F.col("k_thash") == F.col("d_thash")), "left")
     here = docs.withColumn("_thash", F.xxhash64("text"))
-    rows = here.join(keep, F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_host")) & (F.col("_thash") == F.col("k_thash")))
+    rows = here.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_host")) & (F.col("_thash") == F.col("k_thash")))
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(norm_line(x))))
     rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
     if "n_chars" in docs.columns:
