@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_token_store, op4_embedding_forest, op5_quality_classifier, op6_mixing, op8_quality_rules, op9_packing, op10_line_dedup
+from . import op1_warc, op2_token_store, op4_embedding_forest, op5_quality_classifier, op6_mixing, op7_ngram_join, op8_quality_rules, op9_packing, op10_line_dedup
 
 QUERIES = {
     "op1_warc": op1_warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_embedding_forest": op4_embedding_forest.op4_embedding_forest,
     "op5_quality_classifier": op5_quality_classifier.op5_quality_classifier,
     "op6_mixing_sources": op6_mixing.op6_mixing_sources,
+    "op7_ngram_join": op7_ngram_join.op7_ngram_join,
     "op8_quality_rules": op8_quality_rules.op8_quality_rules,
     "op9_best_fit_packing": op9_packing.op9_best_fit_packing,
     "op10_line_dedup": op10_line_dedup.op10_line_dedup,
