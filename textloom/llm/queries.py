@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op1_warc, op2_token_store, op4_embedding_forest, op5_quality_classifier, op6_mixing, op7_ngram_join, op8_quality_rules, op9_packing, op10_line_dedup
+from . import op1_warc, op2_token_store, op3_run_index, op4_embedding_forest, op5_quality_classifier, op6_mixing, op7_ngram_join, op8_quality_rules, op9_packing, op10_line_dedup
 
 QUERIES = {
     "op1_warc": op1_warc.op1_warc,
     "op2_token_store": op2_token_store.op2_token_store,
+    "op3_run_index": op3_run_index.op3_run_index,
     "op4_embedding_forest": op4_embedding_forest.op4_embedding_forest,
     "op5_quality_classifier": op5_quality_classifier.op5_quality_classifier,
     "op6_mixing_sources": op6_mixing.op6_mixing_sources,
