@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .encoding import slices
 from .graph import components
 from .op2_token_store import mix64
-from .store import run_dir, salted_join, settle
+from .store import remove, run_dir, salted_join, settle, tidy
 
 PERCENT = 80
 
@@ -250,6 +250,22 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _allowed(batches):
+    """Pairs that sizes and sketches allow to be similar."""
+    for batch in batches:
+        n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        apart = np.fromiter((int(np.bitwise_count(np.frombuffer(a.as_buffer(), np.uint8) ^ np.frombuffer(b.as_buffer(), np.uint8)).sum()) for a, b in zip(batch.column("sketch_a"), batch.column("sketch_b"), strict=True)), np.int64, batch.num_rows)
+        fine = (apart * (100 + PERCENT) <= (n_a + n_b) * (100 - PERCENT)) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * PERCENT)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(fine))
+
+
+def allowed(pairs: DataFrame, each: DataFrame) -> DataFrame:
+    """pairs (a, b, scheme) -> those (a, b) whose sketches of the scheme (each: f_doc, f_scheme, n, sketch) allow a link."""
+    of = lambda x: each.select(F.col("f_doc").alias(x), F.col("f_scheme").alias("scheme"), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    joined = pairs.join(of("a"), ["a", "scheme"]).join(of("b"), ["b", "scheme"])
+    return joined.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(_allowed, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, k: int, home: str) -> DataFrame:
     """The pairs (a, b) of doc_ids whose sets are similar, by their whole sets."""
     pairs = settle(pairs.distinct(), f"{home}-pairs")
@@ -257,7 +273,9 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, home: str) -> DataFrame:
     texts = docs.join(need.hint("merge"), F.col("doc_id") == F.col("need"), "left_semi")
     sets = settle(texts.mapInArrow(_sets(k), "doc long, set binary"), f"{home}-sets")
     a, b = sets.select(F.col("doc").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("doc").alias("b"), F.col("set").alias("set_b"))
-    return settle(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long").distinct(), f"{home}-links")
+    links = settle(pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long").distinct(), f"{home}-links")
+    remove(f"{home}-sets")
+    return links
 
 
 def _across():
@@ -295,14 +313,16 @@ def near_documents(docs: DataFrame, k: int = 5, entries: int = 1_500_000, hot: i
     buckets = max(1, -(-int(total * 0.6) // entries))
     packed = docs.mapInArrow(_postings(k, buckets), "bucket long, sets long, ids binary, sigs binary, schemes binary, counts binary, keys binary")
     groups = settle(packed.groupBy("bucket").applyInArrow(_groups(), GROUPS), f"{home}/groups")
-    chains = groups.filter("prev is not null").select(F.col("prev").alias("a"), F.col("doc").alias("b"))
-    near = verify(chains, docs, k, f"{home}/chain")
+    tidy(docs.sparkSession)
+    each = facts.filter("sig is not null and doc_id is not null").select(F.col("doc_id").alias("f_doc"), "n", F.inline("facts"))
+    each = each.select("f_doc", "n", F.col("scheme").alias("f_scheme"), "slack", "sketch").dropDuplicates(["f_doc", "f_scheme"])
+    chains = groups.filter("prev is not null").select(F.col("prev").alias("a"), F.col("doc").alias("b"), "scheme").distinct()
+    near = verify(allowed(chains, each), docs, k, f"{home}/chain")
+    tidy(docs.sparkSession)
     first = settle(components(near, f"{home}/first"), f"{home}/first-components")
 
     # groups as sets, without the rows of light sets in hot groups: those are found by another segment
     whole = groups.groupBy("gid", "scheme", "doc").agg(F.sum("times").alias("times"), F.first("size").alias("size"))
-    each = facts.filter("sig is not null and doc_id is not null").select(F.col("doc_id").alias("f_doc"), "n", F.inline("facts"))
-    each = each.select("f_doc", "n", F.col("scheme").alias("f_scheme"), "slack", "sketch").dropDuplicates(["f_doc", "f_scheme"])
     count = whole.groupBy(F.col("doc").alias("h_doc"), F.col("scheme").alias("h_scheme")).agg(F.sum(F.when(F.col("size") > hot, F.col("times")).otherwise(0)).alias("hot"))
     used = count.join(each, (F.col("h_doc") == F.col("f_doc")) & (F.col("h_scheme") == F.col("f_scheme")))
     used = used.join(first, F.col("h_doc") == F.col("node"), "left").select("h_doc", "h_scheme", "n", "sketch", (F.col("hot") <= F.col("slack")).alias("light"), F.coalesce("component", "h_doc").alias("comp"))

@@ -7,6 +7,7 @@ The folder is ``spark.checkpoint.dir`` of the session.  Only a local session tha
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -73,6 +74,12 @@ def settle(df: DataFrame, uri: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of tables that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt, how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join (nulls equal) whose left side may have hot keys and whose right side has one row per key.
 
