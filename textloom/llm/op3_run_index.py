@@ -64,7 +64,7 @@ def gram_keys(data: np.ndarray, length: int, taps: int) -> np.ndarray:
     return h
 
 
-def stretches(texts: list[bytes], length: int, taps: int, block: int = 2 << 20):
+def stretches(texts: list[bytes], length: int, taps: int, block: int = 1 << 20):
     """(text, start, grams, key) of all stretches of all texts, as arrays."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
     begin = np.cumsum(size) - size
@@ -283,7 +283,7 @@ class RunIndex:
 MARKS = "part long, rows binary, starts binary, marks binary"
 
 
-def _mark(length: int, most: int = 1 << 20):
+def _mark(length: int, most: int = 1 << 18):
     def mark(table: pa.Table) -> pa.Table:
         data, lens = b"".join(table.column("data").to_pylist()), _joined(table, "grams", np.uint8).astype(np.int64)
         doc, row, start, key = (_joined(table, c, t) for c, t in (("docs", "<i8"), ("rows", "<u4"), ("starts", "<u4"), ("keys", "<u8")))
@@ -357,7 +357,7 @@ def _remove(home: str, length: int):
     return remove
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, taps: int = 24, entries: int = 1_500_000, part_bytes: int = 24 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, taps: int = 24, entries: int = 1_500_000, part_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_bytes, spans (start, end) and kept (bytes) of every row of docs (doc_id, text)."""
     home = run_dir(docs.sparkSession, "repeats")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -365,10 +365,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, taps: int = 24, entries: i
     buckets = max(1, -(-int(total * 2 / (length - taps + 2)) // entries))
     scanned = rows.mapInArrow(_scan(home, length, taps, buckets, part_bytes), ENTRIES)
     shared = settle(scanned.groupBy("bucket").applyInArrow(_shared(), SHARED), f"{home}/shared")
-    pieces = shared.groupBy("part").applyInArrow(_cut(home, length, taps, 4 * buckets), PIECES)
+    parts = max(1, -(-total // part_bytes))  # a task for each part: its work follows its text, not what the shuffle moves
+    pieces = shared.repartition(parts, "part").groupBy("part").applyInArrow(_cut(home, length, taps, 4 * buckets), PIECES)
     marks = settle(pieces.groupBy("bucket").applyInArrow(_mark(length), MARKS), f"{home}/marks")
     every = shared.filter(F.length("rows") == 0).select("part", "rows", "starts", F.lit(b"").alias("marks"))
-    return marks.unionByName(every).groupBy("part").applyInArrow(_remove(home, length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return marks.unionByName(every).repartition(parts, "part").groupBy("part").applyInArrow(_remove(home, length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
 def op3_run_index(spark, sf_dir: str) -> DataFrame:
