@@ -38,6 +38,7 @@ from .op2_token_store import mix64
 from .store import remove, run_dir, salted_join, settle, tidy
 
 PERCENT = 80
+SLICE = 3 << 20  # bytes of text worked on at once
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +141,7 @@ def _facts(k: int):
 
     def facts(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"), k)
                 out: list[list] = [[] for _ in sets]
                 for scheme, rows, flat, n in _by_scheme(sets, [*range(len(sets))]):
@@ -157,7 +158,7 @@ def _postings(k: int, buckets: int):
 
     def postings(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 sets = shingle_sets(batch.column("text"), k)
                 least: dict[bytes, int] = {}  # equal sets of a batch have the same entries: the smallest doc_id has them
                 ids = batch.column("doc_id").to_pylist()
@@ -232,7 +233,7 @@ def _groups():
 def _sets(k: int):
     def sets(batches):
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in shingle_sets(batch.column("text"), k)], pa.binary())], ["doc", "set"])
 
     return sets
@@ -304,7 +305,7 @@ def _across():
     return across
 
 
-def near_documents(docs: DataFrame, k: int = 5, entries: int = 1_500_000, hot: int = 64, split: int = 4096) -> DataFrame:
+def near_documents(docs: DataFrame, k: int = 5, entries: int = 1_000_000, hot: int = 64, split: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     home = run_dir(docs.sparkSession, "shingles")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

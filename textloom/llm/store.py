@@ -68,10 +68,21 @@ def remove(uri: str) -> None:
         fs.delete_dir(path)
 
 
+#: Bytes of an Arrow batch that a settled stage hands to a Python worker at once.
+BATCH = "16m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def settle(df: DataFrame, uri: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH_SETTING)
+    spark.conf.set(_BATCH_SETTING, BATCH)
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
+    finally:
+        spark.conf.set(_BATCH_SETTING, before)
+    return spark.read.schema(df.schema).parquet(uri)
 
 
 def tidy(spark: SparkSession) -> None:
