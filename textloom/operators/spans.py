@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-URL = r"https?://[^\s<>\"']+"
+URL = r"(?:https?://|\bwww\.)[^\s<>\"']+"
 TAG = r"<(?:!--[\s\S]*?-->|/?[A-Za-z][^<>]*>)"
 COMMENT = r"<!--[\s\S]*?-->"
 
