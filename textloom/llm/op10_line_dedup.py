@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .op8_quality_rules import let, norm_line
-from .store import run_dir, salted_join, settle
+from .store import carried, restored, run_dir, salted_join, settle
 
 
 def winnowed(grams: Column, w: int) -> Column:
@@ -53,10 +53,13 @@ def repeated_lines(docs: DataFrame, w: int, k: int, home: str) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, w: int = 2, k: int = 2) -> DataFrame:
-    """docs with their later repeated runs deleted from ``text``, and n_lines (non-blank), n_removed and n_runs."""
+    """docs with their later repeated runs deleted from ``text``, and n_lines (non-blank), n_removed and n_runs.
+
+    Columns of docs with these three names are replaced.
+    """
     home = run_dir(docs.sparkSession, "lines")
     gone = settle(repeated_lines(docs, w, k, home), f"{home}/gone").withColumnsRenamed({"doc_id": "_id", "thash": "_hash", "at": "_at"})
-    rows = docs.withColumn("_thash", F.xxhash64("text"))
+    rows = carried(docs, "doc_id", "text").withColumn("_thash", F.xxhash64("text"))
     # always by sorting: whether the deletions fit a broadcast must not decide how much the texts move
     rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_thash"] == gone["_hash"]), "left")
     held = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("x"), x.rlike(r"[^\x20\x09-\x0D]").alias("full")))
@@ -70,7 +73,7 @@ def dedup_lines(docs: DataFrame, w: int = 2, k: int = 2) -> DataFrame:
     n = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     runs = F.size(F.filter(F.transform("_at", lambda p, i: F.coalesce(p - F.get(F.col("_at"), i - 1) > 1, F.lit(True))), lambda x: x))
     return rows.select(
-        *[rows[c] for c in docs.columns if c != "text"], F.when(F.col("_at").isNull(), F.col("text")).otherwise(let(held, left)).alias("text"),
+        *restored(rows, [c for c in docs.columns if c not in ("text", "n_lines", "n_removed", "n_runs")], "doc_id"), F.when(F.col("_at").isNull(), F.col("text")).otherwise(let(held, left)).alias("text"),
         F.coalesce(F.when(F.col("text").isNull(), 0).otherwise(n), F.lit(0)).cast("long").alias("n_lines"),
         F.when(F.col("_at").isNull(), 0).otherwise(F.size("_at")).cast("long").alias("n_removed"), F.when(F.col("_at").isNull(), 0).otherwise(runs).cast("long").alias("n_runs"),
     )
@@ -82,10 +85,11 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = dedup_lines(docs)
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    out = dedup_lines(carried(docs, *own).withColumnRenamed("_carried", "_rest")).withColumnRenamed("_rest", "_carried")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    return out.select(restored(out, docs.columns, *own))
 
 
 ORACLE = r"""

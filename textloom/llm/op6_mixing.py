@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import run_dir, salted_join, settle
+from .store import carried, restored, run_dir, salted_join, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,11 +122,13 @@ def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mixed = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.max("taken").alias("taken"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (size == F.col("m_size")))
+    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    rows = carried(docs, *own).withColumn("_size", size)
+    rows = rows.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("_size") == F.col("m_size")))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("m_size")).cast("int"))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("m_size")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
     rows = rows.withColumn("text", F.when(left >= F.col("m_size"), F.col("text")).otherwise(head))
-    if "n_chars" in docs.columns:
+    if "n_chars" in own:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(docs.columns)
+    return rows.select(restored(rows, docs.columns, *own))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .encoding import slices
 from .graph import components
 from .op2_token_store import mix64
-from .store import remove, run_dir, salted_join, settle, tidy
+from .store import carried, remove, restored, run_dir, salted_join, settle, tidy
 
 PERCENT = 80
 SLICE = 3 << 20  # bytes of text worked on at once
@@ -353,8 +353,12 @@ def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, and one row of it."""
-    keep = near_documents(docs).filter("doc_id <=> component_id").select(F.col("doc_id").alias("k_id")).distinct()
-    rows = docs.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    twins = rows.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return rows.dropDuplicates(["doc_id"]) if twins else rows
+    """One document of each component, the one with the smallest doc_id, and one row of it; rows without doc_id stay.
+
+    The semi-join has dealt the rows by doc_id already, so dropping equal doc_ids moves nothing.
+    """
+    keep = near_documents(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("k_id")).distinct()
+    rows = carried(docs, "doc_id")
+    known = rows.join(keep.hint("merge"), F.col("doc_id") == F.col("k_id"), "left_semi").dropDuplicates(["doc_id"])
+    rows = known.unionByName(rows.filter("doc_id is null"))
+    return rows.select(restored(rows, docs.columns, "doc_id"))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import run_dir, salted_join, settle
+from .store import carried, restored, run_dir, salted_join, settle
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -122,13 +122,14 @@ def rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     drop = held.groupBy(F.col("host").alias("d_host"), F.col("thash").alias("d_thash")).agg(F.collect_set("line").alias("gone"))
     keep = verdict.select(F.col("doc_id").alias("k_id"), F.col("host").alias("k_host"), F.col("thash").alias("k_thash"))
     keep = keep.join(drop, F.col("k_host").eqNullSafe(F.col("d_host")) & (F.col("k_thash") == F.col("d_thash")), "left")
-    here = docs.withColumn("_thash", F.xxhash64("text"))
+    own = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    here = carried(docs, *own).withColumn("_thash", F.xxhash64("text"))
     rows = here.join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("k_id")) & F.col("source").eqNullSafe(F.col("k_host")) & (F.col("_thash") == F.col("k_thash")))
     left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(norm_line(x))))
     rows = rows.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in own:
         rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(docs.columns)
+    return rows.select(restored(rows, docs.columns, *own))
 
 
 ORACLE = r"""

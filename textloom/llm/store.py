@@ -85,6 +85,17 @@ def settle(df: DataFrame, uri: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(uri)
 
 
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """docs with the columns ``own`` and all others in one struct, so that their names cannot clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, (F.struct(*others) if others else F.lit(None)).alias("_carried"))
+
+
+def restored(rows: DataFrame, columns: list[str], *own: str) -> list:
+    """Expressions that give ``columns`` back after ``carried``."""
+    return [F.col(c) if c in own else F.col("_carried").getField(c).alias(c) for c in columns]
+
+
 def tidy(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of tables that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()
