@@ -61,15 +61,19 @@ class Net:
         f, n = self.f, len(x) - TAPS + 1
         return y[:n, :f] + y[1 : n + 1, f : 2 * f] + y[2 : n + 2, 2 * f :] + self.w["cb"]
 
-    def pooled(self, data: np.ndarray, block: int = 512) -> np.ndarray:
-        """(chunks, f) largest filter values, at least 0, block by block."""
+    def pooled(self, data: np.ndarray, last: np.ndarray, block: int = 512) -> np.ndarray:
+        """(chunks, f) largest filter values, at least 0, block by block; ``last``: the last chunk of each text.
+
+        The last steps of a last chunk would look into the next text; what they see of their own is padding.
+        """
         out, n = np.empty((len(data) // BYTES, self.f), np.float32), len(data)
         for c in range(0, len(out), block):
             part = data[c * BYTES : min(n, (c + block) * BYTES + REACH)]
             if len(part) % BYTES != REACH:
                 part = np.concatenate([part, np.zeros(REACH, np.uint8)])
-            y = self.convolve(part)
-            out[c : c + block] = y.reshape(-1, CHUNK, self.f).max(1)
+            y = self.convolve(part).reshape(-1, CHUNK, self.f)
+            y[last[(last >= c) & (last < c + block)] - c, 1 - TAPS :] = 0
+            out[c : c + block] = y.max(1)
         return np.maximum(out, 0)
 
     def head(self, chunks: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -81,13 +85,14 @@ class Net:
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
         for rows, data, first, n in layout(texts):
-            out[rows.start : rows.stop] = self.head(self.pooled(data), first, n)[-1]
+            out[rows.start : rows.stop] = self.head(self.pooled(data, first + n - 1), first, n)[-1]
         return out
 
     def gradients(self, data: np.ndarray, first: np.ndarray, n: np.ndarray, want: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         w, f, d = self.w, self.f, self.w["e"].shape[1]
         padded = np.concatenate([data, np.zeros(REACH, np.uint8)])
         y = self.convolve(padded).reshape(-1, CHUNK, f)
+        y[first + n - 1, 1 - TAPS :] = 0
         arg, chunks = y.argmax(1), np.maximum(y.max(1), 0)
         g, z, a, p = self.head(chunks, first, n)
         dl = ((p - want) * weight / len(want)).astype(np.float32)
