@@ -38,6 +38,7 @@ from .op2_token_store import mix64
 from .store import carried, remove, restored, run_dir, salted_join, settle, tidy
 
 PERCENT = 80
+FIRST = 12  # groups of a set that its list of first ones holds
 SLICE = 3 << 20  # bytes of text worked on at once
 
 
@@ -280,11 +281,17 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, home: str) -> DataFrame:
 
 
 def _across():
-    """Pairs of a group, or of two parts of one, in different components, that their sketches allow."""
+    """Pairs of a group, or of two parts of one, in different components, that their sketches allow.
+
+    A pair that shares several groups comes from the first of them as far as the sets' lists of first groups tell.
+    """
 
     def across(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
+        gid, p, q = (table.column(c)[0].as_py() for c in ("gid", "p", "q"))
+        early = np.full((len(table), FIRST), np.iinfo(np.int64).max)
+        for i, x in enumerate(table.column("early").to_pylist()):
+            early[i, : len(x)] = x
         part, doc, comp, n = (table.column(c).to_numpy() for c in ("part", "doc", "comp", "n"))
         words = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(len(doc), -1)
         rows, cols, a, b, out_a, out_b = 256, 2048, np.flatnonzero(part == p), np.flatnonzero(part == q), [], []
@@ -297,6 +304,12 @@ def _across():
                 both, less = n[r][:, None] + n[c][None, :], np.minimum(n[r][:, None], n[c][None, :])
                 fine = (comp[r][:, None] != comp[c][None, :]) & (apart * (100 + PERCENT) <= both * (100 - PERCENT)) & (less * 100 >= (both - less) * PERCENT)
                 x, y = np.nonzero(fine)
+                seen = np.zeros(len(x), bool)
+                for k in range(FIRST):
+                    mine = early[r[x], k]
+                    for m in range(FIRST):
+                        seen |= (mine == early[c[y], m]) & (mine < gid)
+                x, y = x[~seen], y[~seen]
                 out_a.append(np.minimum(doc[r[x]], doc[c[y]]))
                 out_b.append(np.maximum(doc[r[x]], doc[c[y]]))
         pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.int64), *out_a]), np.concatenate([np.zeros(0, np.int64), *out_b])]), axis=1)
@@ -332,11 +345,13 @@ def near_documents(docs: DataFrame, k: int = 5, entries: int = 1_000_000, hot: i
     held = settle(held.select("gid", "scheme", "doc", "comp"), f"{home}/held")
     mixed = held.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
     mixed = mixed.select("gid", F.ceil(F.col("rows") / split).cast("int").alias("parts"))
-    rows = salted_join(held, mixed, ["gid"], F.xxhash64("doc"))
+    rows = settle(salted_join(held, mixed, ["gid"], F.xxhash64("doc")), f"{home}/mixed")
+    early = rows.groupBy(F.col("doc").alias("e_doc")).agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST).alias("early"))
+    rows = rows.join(early, F.col("doc") == F.col("e_doc"))
     rows = rows.join(used.select("h_doc", "h_scheme", "n", "sketch"), (F.col("doc") == F.col("h_doc")) & (F.col("scheme") == F.col("h_scheme")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc"), F.col("parts")).cast("int"))
     rows = rows.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))))
-    rows = rows.select("gid", "doc", "comp", "n", "sketch", "part", "pq.p", "pq.q")
+    rows = rows.select("gid", "doc", "comp", "n", "sketch", "early", "part", "pq.p", "pq.q")
     more = rows.groupBy("gid", "p", "q").applyInArrow(_across(), "a long, b long").distinct()
     last = verify(more, docs, k, f"{home}/across")
     links = near.unionByName(last)
