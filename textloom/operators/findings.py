@@ -101,18 +101,18 @@ UNSCORED = [
 
 
 def scores(findings: DataFrame, metrics: DataFrame) -> DataFrame:
-    """metrics' doc_id with counts by severity, no_rule_findings and penalty_score."""
-    scored = findings.filter(~F.col("rule").isin(UNSCORED))
+    """metrics' doc_id with counts by severity, no_rule_findings and penalty_score; one aggregation of the findings."""
     weigh = lambda table, col: reduce(lambda a, kv: F.when(F.col(col) == kv[0], kv[1]).otherwise(a), table.items(), F.lit(0))
-    document = F.col("rule").isin(list(DOCUMENT_WEIGHTS))
-    weights = scored.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_scored"), F.sum(weigh(DOCUMENT_WEIGHTS, "rule")).alias("document_weight"),
-        F.sum(F.when(~document & ~F.col("rule").isin(UNCOUNTED), weigh(SEVERITY_WEIGHTS, "severity")).otherwise(0)).alias("line_weight"),
+    scored, document = ~F.col("rule").isin(UNSCORED), F.col("rule").isin(list(DOCUMENT_WEIGHTS))
+    counts = findings.groupBy("doc_id").agg(
+        *[F.count_if(F.col("severity") == s).alias(s) for s in ("error", "warn", "info")], F.count(F.lit(1)).alias("n_findings"), F.count_if(scored).alias("n_scored"),
+        F.sum(F.when(scored, weigh(DOCUMENT_WEIGHTS, "rule")).otherwise(0)).alias("document_weight"),
+        F.sum(F.when(scored & ~document & ~F.col("rule").isin(UNCOUNTED), weigh(SEVERITY_WEIGHTS, "severity")).otherwise(0)).alias("line_weight"),
     )
-    rows = severity_counts(findings, metrics).join(metrics.select("doc_id", "prose_chars"), "doc_id").join(weights, "doc_id", "left")
+    rows = metrics.select("doc_id", "prose_chars").join(counts, "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     score = penalty_score(zero("n_scored"), zero("line_weight"), zero("document_weight"), F.col("prose_chars"))
-    return rows.select("doc_id", "error", "warn", "info", "n_findings", (F.col("n_findings") == 0).alias("no_rule_findings"), score.alias("penalty_score"))
+    return rows.select("doc_id", *[zero(c).alias(c) for c in ("error", "warn", "info", "n_findings")], (zero("n_findings") == 0).alias("no_rule_findings"), score.alias("penalty_score"))
 
 
 def rule_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:

@@ -90,25 +90,27 @@ def colons(lines: DataFrame) -> DataFrame:
     return _found(lines.filter(F.col("is_body") & last.rlike(r"[：:]\z") & strip("raw").rlike(r"[：:]\z") & ~F.col("scan").startswith("http")), "trailing_colon", "warn")
 
 
+def _entries(rows: DataFrame, rule: str, severity: str, entries: list[tuple[Column, Column, Column]]) -> DataFrame:
+    """One row for each entry (test, label, words) that holds, in one pass over the rows."""
+    hits = F.filter(F.array(*[F.when(t, F.struct(x.alias("label"), w.alias("words"))) for t, x, w in entries]), lambda h: h.isNotNull())
+    rows = rows.select("doc_id", "line", "raw", F.explode(hits).alias("h"))
+    return _found(rows, rule, severity, F.col("h.label"), F.col("h.words"))
+
+
 def vocabulary(lines: DataFrame) -> DataFrame:
     """One row for each listed word or shape of a line."""
-    body = lines.filter("is_body")
-    words = F.filter(F.array(*[F.when(F.contains("plain", F.lit(w)), F.lit(w)) for w in ja.SLOP_WORDS]), lambda x: x.isNotNull())
-    rows = body.withColumn("word", F.explode(words)).withColumn("hits", F.array("word"))
-    shape = lambda s, p: body.filter(F.col("plain").rlike(p)).withColumns({"word": F.lit(s), "hits": F.array_distinct(F.concat(F.array(F.lit(s)), F.regexp_extract_all("plain", F.lit(p), F.lit(0))))})
-    rows = reduce(DataFrame.unionByName, [shape(s, p) for s, p in ja.SLOP_SHAPES], rows)
-    return _found(rows, "slop_vocabulary", "warn", F.col("word"), F.col("hits"))
+    entries = [(F.contains("plain", F.lit(w)), F.lit(w), F.array(F.lit(w))) for w in ja.SLOP_WORDS]
+    entries += [(F.col("plain").rlike(p), F.lit(s), F.array_distinct(F.concat(F.array(F.lit(s)), F.regexp_extract_all("plain", F.lit(p), F.lit(0))))) for s, p in ja.SLOP_SHAPES]
+    return _entries(lines.filter("is_body"), "slop_vocabulary", "warn", entries)
 
 
 def metaphors(lines: DataFrame) -> DataFrame:
     """Verb patterns; a silent failure inside 'X fails silently' counts once."""
-    body = lines.filter("is_body")
-    out = []
+    entries = []
     for n, (label, pattern) in enumerate(ja.METAPHOR_VERBS):
         text = F.regexp_replace("plain", ja.METAPHOR_VERBS[1][1], " ") if n == 2 else F.col("plain")
-        rows = body.filter(text.rlike(pattern))
-        out.append(_found(rows, "metaphor_verb", "warn", F.lit(label), F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))))
-    return reduce(DataFrame.unionByName, out)
+        entries.append((text.rlike(pattern), F.lit(label), F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))))
+    return _entries(lines.filter("is_body"), "metaphor_verb", "warn", entries)
 
 
 def sentence_patterns(lines: DataFrame) -> DataFrame:
@@ -140,6 +142,8 @@ def densities(lines: DataFrame, negative: DataFrame) -> DataFrame:
 
 def of_course(lines: DataFrame) -> DataFrame:
     """A short 'of course' sentence, unless what comes before it is a yes-or-no question."""
+    some = lines.filter(F.col("raw").rlike("(もちろん|勿論)[*_]*、")).select("doc_id").distinct()
+    lines = lines.join(some, "doc_id", "left_semi")  # the window sees only documents that have the word at all
     w = Window.partitionBy("doc_id").orderBy("line")
     carried = F.when(F.col("kind").isin("code", "table", "thematic_break", "quote", "frontmatter", "html_block", "reference_definition") | (F.col("quote_depth") > 0), "").when(F.col("is_body") | (F.col("kind") == "heading"), F.col("plain"))
     rows = _pieces_of(lines.withColumn("carried", carried).filter("carried is not null").withColumn("previous", F.lag("carried").over(w)).filter("is_body"))
@@ -152,7 +156,8 @@ def of_course(lines: DataFrame) -> DataFrame:
 
 def fragments(lines: DataFrame) -> DataFrame:
     """Three short sentences in a row inside a paragraph, at the line where they begin."""
-    rows = lines.filter(F.col("is_body") & F.col("kind").isin("paragraph", "list")).withColumn("v", F.regexp_replace("scan", r"「[^「」]*」|『[^『』]*』|\[[^\[\]]*\]", "　"))
+    some = lines.filter(F.col("raw").rlike("[。！]")).select("doc_id", "block").distinct()
+    rows = lines.join(some, ["doc_id", "block"], "left_semi").filter(F.col("is_body") & F.col("kind").isin("paragraph", "list")).withColumn("v", F.regexp_replace("scan", r"「[^「」]*」|『[^『』]*』|\[[^\[\]]*\]", "　"))
     w = Window.partitionBy("doc_id", "block").orderBy("line")
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("v")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     whole = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line", "v", "start", "raw"))).alias("x"))
@@ -241,14 +246,17 @@ def project_terms(lines: DataFrame, flags: dict[str, str | None]) -> DataFrame:
 def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, metrics, lines) of docs (doc_id, text).  ``lines`` is cached for the rules; unpersist it when done."""
     lines = scan_columns(lines_of(parse_documents(docs))).persist()
+    # a finding of these rules needs a character of this range in its own line, so the filter loses none; rules that carry
+    # text over lines see all lines
+    wide = lines.filter(F.col("raw").rlike("[\u2300-\U0010FFFF]"))
     plain = lines.filter(~F.col("kind").isin([*NOT_TEXT, "table"]) & (F.col("quote_depth") == 0))
     listed = F.when(F.col("list_item"), F.regexp_extract("raw", r"^\s*(?:[-*+]|[0-9]+[.)])\s+", 0)).otherwise("")
     metrics = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(fnd.doc_metrics(plain.withColumn("visible", F.when(listed != "", F.concat(listed, F.ltrim("visible"))).otherwise(F.col("visible"))), "visible"), "doc_id", "left").na.fill(0)
-    negative = negations(lines)
+    negative = negations(wide)
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
-        whole, endings(lines), emoji(lines), dashes(lines), middle_dots(lines), one_sentence(lines), headings(lines, metrics), colons(lines), vocabulary(lines), metaphors(lines), sentence_patterns(lines),
-        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(lines), listed_terms(lines), shapes(lines), narrative(lines), project_terms(lines, flags or {}),
+        whole, endings(wide), emoji(wide), dashes(wide), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
+        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), narrative(lines), project_terms(lines, flags or {}),
     ]
     found = reduce(DataFrame.unionByName, [p.select(*[F.col(c) for c in COLUMNS]) for p in parts])
     if allowed:

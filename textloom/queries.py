@@ -239,7 +239,40 @@ def context_snippets(spark, d):
     return docs.join(first, "doc_id").select("doc_id", around(F.col("text"), F.col("x.s").cast("int"), F.col("x.e").cast("int")).alias("snippet"))
 
 
-_D = "documents"
+def lint_envelope(spark, d):
+    """The whole lint plan over the documents: parse, all rules, counts, score.  No SQL: the parse is sequential."""
+    from textloom.plans.lint import envelope
+
+    return envelope(_docs(spark, d).select("doc_id", "text"))
+
+
+JP = [
+    (1, "重要なのは、速さだ。"), (2, "量ではなく質を選ぶ。"), (3, "等身大の言葉で書く。"), (4, "仕様が壊れる。"), (5, "作成・推敲を行う。"), (6, "完了🎉しました。"), (7, "## まとめ"), (8, "次のとおり："),
+    (9, "新しいソリューションを示す。"), (10, "結果の確かめを行う。"), (11, "読む、書く、直す。"), (12, "速い。"),
+]
+
+
+def jp_rules_golden(spark, d):
+    """Golden: hand-written expectations for the Japanese rules, since the tables hold no Japanese."""
+    from textloom.plans.lint import lint
+
+    return lint(spark.createDataFrame(JP, "doc_id long, text string"))[0].select("doc_id", "rule", "line", "severity")
+
+
+JP_PAIRS = [(1, "大切です。必ず確認してください。", "確認します。"), (2, "速度を測定する。", "速度を計測する。性能も見る。"), (3, "同じ文です。", "同じ文です。")]
+
+
+def jp_diff_golden(spark, d):
+    """Golden: marker counts that change between two Japanese texts."""
+    pairs = spark.createDataFrame(JP_PAIRS, "pair_id long, orig string, rewrite string")
+    return dff.marker_changes(pairs, {"依頼": "(?:て|で)ください", "評価": "大切|重要|大事|不可欠|欠かせ|肝心|肝要", "念押し": "のです|んです|こそ|まさに|必ず|絶対|常に"})
+
+
+def jp_words_golden(spark, d):
+    """Golden: content words that one side lacks."""
+    return dff.word_changes(spark.createDataFrame(JP_PAIRS, "pair_id long, orig string, rewrite string"))
+
+
 _L = r"""raw_lines AS (
   SELECT doc_id, generate_subscripts(l, 1)::INT AS line, unnest(l) AS raw FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l FROM documents)
 )"""
@@ -365,6 +398,12 @@ x AS (SELECT key, l_id, r_id, len(list_intersect(a, b)) AS bo, len(list_distinct
 y AS (SELECT *, row_number() OVER (PARTITION BY key, l_id ORDER BY bo::DOUBLE / u DESC, r_id) AS n FROM x WHERE bo > 0 AND bo >= 0.2 * u)
 SELECT key, l_id, r_id, bo AS "both", u AS "union" FROM y WHERE n = 1""",
     "label_sync": "SELECT DISTINCT doc_id AS name, 'unlisted' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'orphan' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
+    "props_contract": """SELECT event_id, list_filter([CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN NULL WHEN json_type(props, '$.k') IS NULL THEN 'k: missing' ELSE 'k: not a number' END,
+  CASE WHEN json_type(props, '$.missing') IS NULL THEN 'missing: missing' END, CASE WHEN json_type(props, '$.v') NOT IN ('ARRAY') THEN 'v: not a array' END], lambda x: x IS NOT NULL) AS problems FROM events""",
+    "jp_rules_golden": """SELECT * FROM (VALUES (1, 'meta_filler', 1, 'warn'), (2, 'negative_parallelism', 1, 'info'), (3, 'slop_vocabulary', 1, 'warn'), (4, 'metaphor_verb', 1, 'warn'), (5, 'nakaguro_parallel', 1, 'warn'),
+  (6, 'emoji_prohibited', 1, 'warn'), (7, 'short_summary_heading', 1, 'info'), (8, 'trailing_colon', 1, 'warn'), (9, 'katakana_term', 1, 'info'), (10, 'renyo_noun', 1, 'info'), (11, 'bare_verb_chain', 1, 'info')) t(doc_id, rule, line, severity)""",
+    "jp_diff_golden": "SELECT * FROM (VALUES (1, '依頼', 1, 0), (1, '評価', 1, 0), (1, '念押し', 1, 0)) t(pair_id, kind, n_orig, n_rewrite)",
+    "jp_words_golden": "SELECT * FROM (VALUES (1, [], ['大切']), (2, ['性能', '計測'], ['測定'])) t(pair_id, new_words, lost_words)",
     "size_limits": "SELECT 'size' AS \"check\", doc_id AS path, unnest(list_filter([CASE WHEN len(string_split(text, chr(10))) > 12 THEN 'too many lines' END, CASE WHEN length(text) > 4000 THEN 'too many characters' END], lambda x: x IS NOT NULL)) AS message FROM documents",
     "status_counts": """WITH v AS (SELECT CASE WHEN len(string_split(text, chr(10))) > 12 THEN 1 ELSE 0 END AS a, CASE WHEN length(text) > 4000 THEN 1 ELSE 0 END AS b FROM documents),
 x AS (SELECT 'too many lines' AS "check", sum(a)::BIGINT AS n FROM v UNION ALL SELECT 'too many characters', sum(b)::BIGINT FROM v UNION ALL SELECT 'no text', 0) SELECT *, n = 0 AS passed FROM x""",
@@ -382,5 +421,5 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 QUERIES = {f.__name__: f for f in (
     penalty_score, line_scan, doc_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
     hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_in_comments, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
-    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets,
+    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
