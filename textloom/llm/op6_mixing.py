@@ -87,7 +87,7 @@ def _shard_seats(block: int, cap: int):
     return seats
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, blocks: int = 1 << 20, docs_per_shard: int = 20_000, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, blocks: int = 1 << 20, docs_per_shard: int = 4_000, seed: int = 17) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row; ``blocks`` equal blocks make up the corpus."""
     spark, home = docs.sparkSession, run_dir(docs.sparkSession, "mix")
     sized = settle(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), f"{home}/sized")
