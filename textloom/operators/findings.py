@@ -27,6 +27,19 @@ def doc_metrics(lines: DataFrame, text: str = "raw") -> DataFrame:
     return got.withColumn("bold_count", F.regexp_count("starred", F.lit(r"\*\*[^*]+\*\*")).cast("long")).drop("starred")
 
 
+def text_metrics(docs: DataFrame) -> DataFrame:
+    """The same numbers for whole texts whose lines all count as paragraphs: one row in, one row out, no shuffle."""
+    full = F.filter(F.split("text", r"\r\n|\r|\n", -1), lambda x: x.rlike(f"(?!{BLANK})[\\s\\S]"))
+    listed = lambda x: x.rlike(r"^\s*([-*+]|[0-9]+\.)\s+") & ~x.rlike(r"[-*+]\s+\[.*?\]\(https?://")
+    chars = F.length(squeeze(F.col("text"))).cast("long")
+    starred = F.array_join(F.filter("full", lambda x: x.contains("*")), "\n")
+    rows = docs.select("doc_id", "text", full.alias("full"))
+    return rows.select(
+        "doc_id", chars.alias("char_count"), F.size("full").cast("long").alias("total_lines"), F.size(F.filter("full", listed)).cast("long").alias("list_lines"),
+        chars.alias("prose_chars"), F.regexp_count(starred, F.lit(r"\*\*[^*]+\*\*")).cast("long").alias("bold_count"),
+    )
+
+
 def metric_rules(metrics: DataFrame, chars: int = 300, bold: float = 3.0, lists: float = 0.25) -> DataFrame:
     """excess_bold and excess_list of documents with enough text."""
     rate, share = per_thousand(F.col("bold_count"), F.col("char_count")), F.coalesce(F.try_divide(F.col("list_lines") * 1.0, F.col("total_lines")), F.lit(0.0))

@@ -36,11 +36,11 @@ def line_scan(spark, d):
 
 
 def doc_metrics(spark, d):
-    return fnd.doc_metrics(_lines(spark, d))
+    return fnd.text_metrics(_docs(spark, d))
 
 
 def metric_rules(spark, d):
-    return fnd.metric_rules(fnd.doc_metrics(_lines(spark, d)))
+    return fnd.metric_rules(fnd.text_metrics(_docs(spark, d)))
 
 
 def _sentences(spark, d):
@@ -51,6 +51,11 @@ def _last_letter():
     return F.nullif(F.regexp_extract("sentence", r"([a-z])[.!?]\z", 1), F.lit(""))
 
 
+def line_metrics(spark, d):
+    """The metrics from a relation of lines, as the lint plan has them."""
+    return fnd.doc_metrics(_lines(spark, d))
+
+
 def sentence_records(spark, d):
     return _sentences(spark, d).select("doc_id", "line", "seq", "sentence")
 
@@ -61,8 +66,7 @@ def ending_runs(spark, d):
 
 def penalty_score(spark, d):
     """Metric rules and runs of sentence endings as findings; counts and score of every document."""
-    lines = _lines(spark, d)
-    metrics = fnd.doc_metrics(lines)
+    metrics = fnd.text_metrics(_docs(spark, d))
     runs = ending_runs(spark, d).select("doc_id", F.lit("sentence_end_repetition").alias("rule"), "line", F.lit("warn").alias("severity"))
     return fnd.gate(fnd.scores(fnd.metric_rules(metrics).unionByName(runs), metrics), fail_on="warn")
 
@@ -350,6 +354,7 @@ ORACLE_SQL = {
 y AS (SELECT doc_id, generate_subscripts(l, 1)::INT AS line, unnest(l) AS raw, unnest(list_concat(t, [''])) AS ending FROM x)
 SELECT *, coalesce(sum(length(raw) + length(ending)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM y""",
     "doc_metrics": f"WITH {_METRICS} SELECT *, char_count AS prose_chars FROM m",
+    "line_metrics": f"WITH {_METRICS} SELECT *, char_count AS prose_chars FROM m",
     "metric_rules": f"WITH {_METRICS}, {_RULES} SELECT * FROM mr",
     "sentence_records": f"WITH {_S} SELECT * FROM s",
     "ending_runs": f"WITH {_RUNS} SELECT * FROM runs",
@@ -419,7 +424,7 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 }
 
 QUERIES = {f.__name__: f for f in (
-    penalty_score, line_scan, doc_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
+    penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
     hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_in_comments, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
     turn_ending_counts, turn_logic_points, turn_line_multisets, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
