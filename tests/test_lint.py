@@ -66,6 +66,14 @@ CASES = [
     ("list+", LONG + "\n\n- 一\n- 二\n- 三", "excess_list", True),
     ("narrative+", "数は 1 と 2 と 3 と 4 と 5 と 6 と 7 と 8 と 9 と 10 です。" + "文章が続きます。" * 130, "narrative_density", True),
     ("narrative-", "文章が続きます。" * 130, "narrative_density", False),
+    ("dash-nested", "彼は「それは『静か──重い』だ」と言う。", "dash_decoration", False),
+    ("copy+", "静かな、夜。", "copy_comma_noun", True),
+    ("copy-particle", "条件を残した、出力。", "copy_comma_noun", False),
+    ("copy-reply", "はい、了解。", "copy_comma_noun", False),
+    ("dialogue+", "\n\n".join(f"「{c}だと思う。」" for c in "一二三四五六七八九十"), "dialogue_period", True),
+    ("dialogue-few", "\n\n".join(f"「{c}だと思う。」" for c in "一二三四五六七八九"), "dialogue_period", False),
+    ("dialogue-names", "\n\n".join(f"ハル：{c}だと思う。（笑う）" for c in "一二三四五六七八九十"), "dialogue_period", True),
+    ("dialogue-stop", "\n\n".join(f"「{c}だと思う」" for c in "一二三四五六七八九十"), "dialogue_period", False),
     ("code", "```\n重要なのは、等身大——。\n```", "slop_vocabulary", False),
 ]
 

@@ -46,3 +46,13 @@ def test_alignment(spark):
     sentences = core.dff.side_sentences(pairs)
     got = core.dff.ending_changes(sentences, core.dff.ending_kind(core.F.col("sentence"))).collect()
     assert [(r.orig_kind, r.rewrite_kind) for r in got] == [("依頼", "動作（〜します）")]
+
+
+def test_heading_pairs(spark):
+    orig, rewrite = "# 概要\n\n## 手順の説明\n\n## 手順の説明\n\n結果\n---\n", "# 概要\n\n### 手順の説明\n\n## 手順を説明\n\n## 追加\n"
+    rows = core.dff.headings(spark.createDataFrame([(4, orig, rewrite)], "pair_id long, orig string, rewrite string"))
+    assert [(r.side, r.level, r.shown) for r in sorted(rows.collect(), key=lambda r: (r.side, r.line))][3] == ("orig", 2, "結果")
+    got = {(r.orig_line, r.rewrite_line) for r in core.dff.heading_pairs(rows).collect()}
+    assert got == {(1, 1), (3, 3), (5, 5), (7, None), (None, 7)}
+    r = core.dff.heading_shapes(rows).first()
+    assert (r.removed, r.added, r.relevelled, r.first_removed, r.levels_orig, r.levels_rewrite) == (1, 1, 1, ["結果"], "1222", "1322")

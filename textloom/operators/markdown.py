@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LINE_SCHEMA = "line int, raw string, start long, kind string, quote_depth int, list_item boolean, block int, visible string"
+LINE_SCHEMA = "line int, raw string, start long, kind string, quote_depth int, list_item boolean, block int, visible string, unquoted string"
 SPAN_SCHEMA = "s long, e long, kind string"
 
 _QUOTE = re.compile(r" {0,3}>[ \t]?")
@@ -273,6 +273,25 @@ def inline_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+_OPENERS = {"」": "「", "』": "『", "]": "["}
+_ANY_CLOSER = re.compile("[」』\\]]")
+
+
+def blank_quotes(text: str) -> str:
+    """text with balanced 「」, 『』 and [] blanked, whatever stands in them; unclosed ones stay."""
+    if not _ANY_CLOSER.search(text):
+        return text
+    waiting: dict[str, list[int]] = {opener: [] for opener in _OPENERS.values()}
+    out = list(text)
+    for i, c in enumerate(text):
+        if c in waiting:
+            waiting[c].append(i)
+        elif c in _OPENERS and waiting[_OPENERS[c]]:
+            start = waiting[_OPENERS[c]].pop()
+            out[start : i + 1] = " " * (i + 1 - start)
+    return "".join(out)
+
+
 def parse(text: str) -> tuple[list[dict], list[dict]]:
     """(lines, spans) of a document; offsets are code points."""
     lines, spans = scan_lines(text), []
@@ -300,12 +319,12 @@ def parse(text: str) -> tuple[list[dict], list[dict]]:
         if kind not in hidden:
             shown[s:e] = [c if c in "\r\n" else " " for c in shown[s:e]]
     shown = "".join(shown)
-    rows = [{"line": x.line, "raw": x.raw, "start": x.start, "kind": x.kind, "quote_depth": x.depth, "list_item": x.item, "block": x.block, "visible": shown[x.start : x.start + len(x.raw)]} for x in lines]
+    rows = [{"line": x.line, "raw": x.raw, "start": x.start, "kind": x.kind, "quote_depth": x.depth, "list_item": x.item, "block": x.block, "visible": (v := shown[x.start : x.start + len(x.raw)]), "unquoted": blank_quotes(v)} for x in lines]
     return rows, [{"s": s, "e": e, "kind": k} for s, e, k in spans]
 
 
 def _stage(batches):
-    line = pa.struct([("line", pa.int32()), ("raw", pa.string()), ("start", pa.int64()), ("kind", pa.string()), ("quote_depth", pa.int32()), ("list_item", pa.bool_()), ("block", pa.int32()), ("visible", pa.string())])
+    line = pa.struct([("line", pa.int32()), ("raw", pa.string()), ("start", pa.int64()), ("kind", pa.string()), ("quote_depth", pa.int32()), ("list_item", pa.bool_()), ("block", pa.int32()), ("visible", pa.string()), ("unquoted", pa.string())])
     span = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("kind", pa.string())])
     for batch in batches:
         for low in range(0, batch.num_rows, 200):

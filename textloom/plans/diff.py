@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.text import bigrams, either, shared, strip
+from textloom.operators.markdown import lines_of, parse_documents
 from textloom.operators.segments import pieces
 
 # What counts as a content word, a list row, a heading mark.
@@ -161,6 +162,75 @@ def ending_changes(sentences: DataFrame, kind: Column) -> DataFrame:
     return rows.groupBy("pair_id").applyInArrow(_ratio_stage("kind"), "pair_id long, orig string, orig_kind string, rewrite string, rewrite_kind string")
 
 
+def headings(pairs: DataFrame) -> DataFrame:
+    """pair_id, side, line, level, shown, key of the headings of both texts; key is the title without blanks, in small letters."""
+    sides = pairs.select("pair_id", F.posexplode(F.array("orig", "rewrite")).alias("n", "text"))
+    rows = lines_of(parse_documents(sides.select((F.col("pair_id") * 2 + F.col("n")).alias("doc_id"), "text")))
+    under = F.lead("raw").over(Window.partitionBy("doc_id").orderBy("line"))
+    next_kind = F.lead("kind").over(Window.partitionBy("doc_id").orderBy("line"))
+    rows = rows.withColumns({"under": F.when(next_kind == "heading_underline", under)}).filter("kind = 'heading'")
+    marks = F.length(F.regexp_extract("raw", r"^\s*(#{1,6})(?:\s|\z)", 1))
+    level = F.when(marks > 0, marks).when(F.col("under").contains("="), 1).when(F.col("under").isNotNull(), 2)
+    shown = strip(F.regexp_replace("raw", r"^\s*#{1,6}(?:\s+|\z)|\s+#+\s*\z", ""))
+    out = rows.withColumns({"level": level, "shown": shown}).filter("level is not null")
+    return out.select(F.expr("doc_id div 2").alias("pair_id"), F.when(F.col("doc_id") % 2 == 0, "orig").otherwise("rewrite").alias("side"), "line", "level", "shown", F.lower(F.regexp_replace("shown", r"[\s　*`]+", "")).alias("key"))
+
+
+def _pairs_of(text: str) -> set[str]:
+    return {text[i : i + 2] for i in range(len(text) - 1)}
+
+
+def _pair_headings(table: pa.Table) -> pa.Table:
+    """Equal titles in order first; then the most alike (bigram Jaccard of 0.2 or more), each heading once."""
+    rows = table.sort_by("line").to_pylist()
+    left, right = ([r for r in rows if r["side"] == s] for s in ("orig", "rewrite"))
+    free, found = list(range(len(right))), []
+    rest = []
+    for i, a in enumerate(left):
+        j = next((j for j in free if right[j]["key"] == a["key"]), None)
+        if j is None:
+            rest.append(i)
+        else:
+            free.remove(j)
+            found.append((i, j))
+    score = []
+    for i in rest:
+        for j in free:
+            a, b = _pairs_of(left[i]["key"]), _pairs_of(right[j]["key"])
+            if a | b and 5 * len(a & b) >= len(a | b):
+                score.append((-len(a & b) / len(a | b), i, j))
+    for _, i, j in sorted(score):
+        if i in rest and j in free:
+            rest.remove(i)
+            free.remove(j)
+            found.append((i, j))
+    out = [(rows[0]["pair_id"], left[i], right[j]) for i, j in sorted(found)] + [(rows[0]["pair_id"], left[i], None) for i in rest] + [(rows[0]["pair_id"], None, right[j]) for j in free]
+    get = lambda x, c: None if x is None else x[c]
+    cols = [[p for p, _, _ in out], *[[get(x[k], c) for x in out] for k in (1, 2) for c in ("line", "level", "shown")]]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in HEADING_PAIRS.split(", ")])
+
+
+HEADING_PAIRS = "pair_id long, orig_line int, orig_level int, orig string, rewrite_line int, rewrite_level int, rewrite string"
+
+
+def heading_pairs(rows: DataFrame) -> DataFrame:
+    """headings -> matched, removed (no rewrite) and added (no orig) headings of each pair."""
+    return rows.select(F.col("pair_id").cast("long").alias("pair_id"), "side", "line", F.col("level").cast("int").alias("level"), "shown", "key").groupBy("pair_id").applyInArrow(_pair_headings, HEADING_PAIRS)
+
+
+def heading_shapes(rows: DataFrame) -> DataFrame:
+    """pair_id with the numbers of headings removed, added and moved to another level, the first three removed, and the levels of both sides."""
+    got = heading_pairs(rows)
+    gone = F.col("rewrite_line").isNull()
+    return got.groupBy("pair_id").agg(
+        F.count_if(gone).alias("removed"), F.count_if(F.col("orig_line").isNull()).alias("added"), F.count_if(F.col("orig_level") != F.col("rewrite_level")).alias("relevelled"),
+        F.slice(F.transform(F.array_sort(F.collect_list(F.when(gone, F.struct("orig_line", "orig")))), lambda x: x["orig"]), 1, 3).alias("first_removed"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("orig_line").isNotNull(), F.struct("orig_line", "orig_level")))), lambda x: x["orig_level"].cast("string")), "").alias("levels_orig"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rewrite_line").isNotNull(), F.struct("rewrite_line", "rewrite_level")))), lambda x: x["rewrite_level"].cast("string")), "").alias("levels_rewrite"),
+    )
+
+
 def opcodes(pairs: DataFrame) -> DataFrame:
     """pair_id, seq, tag, i1, i2, j1, j2: how the characters of orig become those of rewrite."""
 

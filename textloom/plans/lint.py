@@ -53,7 +53,7 @@ def emoji(lines: DataFrame) -> DataFrame:
 
 def dashes(lines: DataFrame) -> DataFrame:
     """Text with its quotes and link texts blanked that holds a dash between other characters; the first shape counts."""
-    masked = F.regexp_replace("plain", r"「[^「」]*」|『[^『』]*』|\[[^\[\]]*\]", " ")
+    masked = F.regexp_replace("unquoted", r"\*\*|\*|__", "")
     credit = F.regexp_replace(masked, rf"^\s*[{ja.DASHES}]+\s*((?:出典|引用元|著者|Source|Author)\s*[:：])", "$1")
     text = strip(credit)
     core = F.regexp_replace(text, rf"[{ja.DASHES} 　\p{{P}}\p{{S}}]", "")
@@ -157,7 +157,7 @@ def of_course(lines: DataFrame) -> DataFrame:
 def fragments(lines: DataFrame) -> DataFrame:
     """Three short sentences in a row inside a paragraph, at the line where they begin."""
     some = lines.filter(F.col("raw").rlike("[。！]")).select("doc_id", "block").distinct()
-    rows = lines.join(some, ["doc_id", "block"], "left_semi").filter(F.col("is_body") & F.col("kind").isin("paragraph", "list")).withColumn("v", F.regexp_replace("scan", r"「[^「」]*」|『[^『』]*』|\[[^\[\]]*\]", "　"))
+    rows = lines.join(some, ["doc_id", "block"], "left_semi").filter(F.col("is_body") & F.col("kind").isin("paragraph", "list")).withColumn("v", strip("unquoted"))
     w = Window.partitionBy("doc_id", "block").orderBy("line")
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("v")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     whole = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line", "v", "start", "raw"))).alias("x"))
@@ -195,9 +195,11 @@ def listed_terms(lines: DataFrame) -> DataFrame:
 
 
 def shapes(lines: DataFrame) -> DataFrame:
-    """Hedged 'one can say', and three or more bare verbs in a row."""
+    """Hedged 'one can say', a noun after a comma, three or more bare verbs in a row."""
     rows = lines.filter(F.col("kind").isin("paragraph", "list", "heading") & (F.col("quote_depth") == 0) & F.col("is_text"))
-    rows = rows.withColumn("parts", F.filter(F.regexp_extract_all("plain", F.lit(r"[^。！？!?]+(?:[。！？!?]+|\z)"), F.lit(0)), lambda x: strip(x) != ""))
+    shown = F.regexp_replace(F.regexp_replace("unquoted", r"__|\*", ""), "“[^“”]*”|\"[^\"]*\"", " ")
+    shown = F.when(F.col("kind") == "heading", F.regexp_replace(shown, r"^\s*#{1,6}(?:\s+|\z)|\s+#+\s*\z", "")).otherwise(shown)
+    rows = rows.withColumn("parts", F.filter(F.regexp_extract_all(shown, F.lit(r"[^。！？!?]+(?:[。！？!?]+|\z)"), F.lit(0)), lambda x: strip(x) != ""))
     head = lambda s: F.regexp_extract(s, ja.SAY_HEDGE, 1)
     hedge = lambda s: s.rlike(ja.SAY_HEDGE) & ~s.rlike(ja.SAY_HEDGE_JUDGE) & (~head(s).rlike(ja.SAY_HEDGE_NOUN) | head(s).rlike(ja.SAY_HEDGE_ADJECTIVE))
 
@@ -207,7 +209,15 @@ def shapes(lines: DataFrame) -> DataFrame:
         fine = lambda p: p.rlike(ja.BARE_VERB) & ~p.rlike(ja.BARE_VERB_NOT)
         return (F.length(s) <= 30) & s.endswith("。") & (F.size(parts) >= 3) & ~s.rlike(ja.BARE_VERB_PARTICLE) & F.forall(parts, fine) & ~F.element_at(parts, -1).endswith("か")
 
-    return _found(rows.filter(F.exists("parts", hedge)), "say_hedge", "info").unionByName(_found(rows.filter(F.exists("parts", verbs)), "bare_verb_chain", "info"))
+    def noun(sentence: Column) -> Column:
+        s = strip(sentence)
+        before, last = strip(F.regexp_extract(s, ja.COPY_COMMA_NOUN, 1)), F.regexp_replace(F.regexp_extract(s, ja.COPY_COMMA_NOUN, 2), r"を\z", "")
+        fine = (F.length(s) <= 20) & s.rlike(ja.COPY_COMMA_NOUN) & F.length(last).between(1, 6) & (F.length(before) >= 2)
+        fine = fine & ~before.isin(ja.COPY_NOT_MODIFIER) & ~before.rlike(ja.COPY_PARTICLE) & (~last.endswith("い") | last.isin(ja.COPY_I_NOUNS))
+        return fine & ~last.rlike(ja.COPY_NOT_NOUN)
+
+    copies = _found(rows.filter(F.exists("parts", noun)), "copy_comma_noun", "info")
+    return copies.unionByName(_found(rows.filter(F.exists("parts", hedge)), "say_hedge", "info")).unionByName(_found(rows.filter(F.exists("parts", verbs)), "bare_verb_chain", "info"))
 
 
 def endings(lines: DataFrame) -> DataFrame:
@@ -223,12 +233,24 @@ def endings(lines: DataFrame) -> DataFrame:
 def narrative(lines: DataFrame, least: int = 1000, first_person: float = 1.0, dense: float = 8.0) -> DataFrame:
     """Documents with enough prose, hardly a first person, and many numbers and list rows."""
     rows = lines.filter(F.col("is_body") & ~F.col("kind").isin("heading_underline", "thematic_break"))
-    text = F.regexp_replace(F.regexp_replace("visible", r"__|\*", ""), r"「[^「」]*」|『[^『』]*』|\[[^\[\]]*\]", " ")
+    text = F.regexp_replace("unquoted", r"__|\*", "")
     n = F.length(squeeze(F.regexp_replace("visible", r"__|\*", "")))
     got = rows.groupBy("doc_id").agg(F.sum(n).alias("n"), F.sum(F.regexp_count(text, F.lit(ja.FIRST_PERSON))).alias("p"), F.sum(F.regexp_count(text, F.lit(ja.NUMBER)) + ((F.col("kind") == "list") & F.col("list_item")).cast("int")).alias("d"), F.min(F.when(n > 0, F.col("line"))).alias("line"), F.min_by(F.col("raw"), F.when(n > 0, F.col("line"))).alias("raw"))
     return _found(got.filter((F.col("n") >= least) & (F.col("p") * 1000 < first_person * F.col("n")) & (F.col("d") * 1000 >= dense * F.col("n"))), "narrative_density", "info")
 
 
+def dialogue(lines: DataFrame, least: int = 10, share: float = 0.5) -> DataFrame:
+    """Documents with enough lines of speech of which many end in a full stop, at the first of them."""
+    rows = lines.filter(F.col("is_body") & ~F.col("kind").isin("heading_underline", "thematic_break")).withColumn("t", F.regexp_replace("visible", r"__|\*", ""))
+    quoted = F.transform(F.regexp_extract_all("t", F.lit(ja.SPEECH), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    name, said = F.regexp_extract("t", ja.SPEAKER, 1), F.regexp_replace(strip(F.regexp_extract("t", ja.SPEAKER, 2)), ja.STAGE_NOTE, "")
+    spoken = F.when(F.size(quoted) > 0, quoted).when((name != "") & ~name.rlike(ja.NOT_SPEAKER), F.array(said)).otherwise(F.array().cast("array<string>"))
+    spoken = F.filter(F.transform(spoken, strip), lambda x: x != "")
+    rows = rows.withColumn("spoken", spoken).filter(F.size("spoken") > 0)
+    got = rows.groupBy("doc_id").agg(F.sum(F.size("spoken")).alias("n"), F.sum(F.size(F.filter("spoken", lambda x: x.rlike(r"[。｡]\z")))).alias("stops"), F.min("line").alias("line"), F.min_by("raw", "line").alias("raw"))
+    return _found(got.filter((F.col("n") >= least) & (F.col("stops") >= share * F.col("n"))), "dialogue_period", "info")
+
+
 def project_terms(lines: DataFrame, flags: dict[str, str | None]) -> DataFrame:
     """Words a project has asked to avoid, with what to write instead; not where the replacement already stands."""
     if not flags:
@@ -256,7 +278,7 @@ def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: l
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
         whole, endings(wide), emoji(wide), dashes(wide), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
-        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), narrative(lines), project_terms(lines, flags or {}),
+        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), narrative(lines), dialogue(wide), project_terms(lines, flags or {}),
     ]
     found = reduce(DataFrame.unionByName, [p.select(*[F.col(c) for c in COLUMNS]) for p in parts])
     if allowed:

@@ -119,3 +119,12 @@ BARE_VERB_PARTICLE = r"を|[はがに](?![ぁ-ゖ])"
 SENTENCE_ENDINGS = ["です", "ます", "でした", "ました", "である", "だ", "だろう"]
 NUMBER = r"(?<![A-Za-z_0-9０-９.,．，])[0-9０-９]+(?:[.,．，][0-9０-９]+)*(?![_0-9０-９])"
 FIRST_PERSON = r"(?<![公無])私(?![立鉄的物有服用語設費学道塾刑権財欲情事信案邸宅募企営益生淑書])|(?<![ぁ-ゖ手受引見])(?:わたくし|わたし(?!て|た(?!ち)|ます|まし|ませ)|ぼく(?![じしさめ]))|僕|俺|自分|筆者"
+COPY_COMMA_NOUN = r"(?:^|、)([^、]+?[ないたの])、([一-龯々〆ヵヶぁ-ゖァ-ヴーA-Za-z0-9０-９Ａ-Ｚａ-ｚ]{1,7})。\z"
+COPY_PARTICLE = r"を|[はがで](?![ぁ-ゖ])"
+COPY_NOT_MODIFIER = "はい いいえ いい また まあ あの その この どの あのね ええ いや おい なお ただ しかし ちなみ つまり さて では".split()
+COPY_I_NOUNS = "思い 想い 願い 違い 匂い 出会い 味わい 祝い 誓い 迷い 笑い 住まい 佇まい 問い 扱い 装い 幸い".split()
+COPY_NOT_NOUN = r"(?:[るたすだてでねよわかぞぜさうくぐつぬぶむずじ]|ない|ません|しい|たい)\z|[はがにでの]"
+SPEECH = r"「(?:[^「」]|「[^「」]*」)*」|『(?:[^『』]|『[^『』]*』)*』"
+SPEAKER = r"^\s*(?:[-*+]\s+|\d+\.\s+)?([^\s：:「」『』（）()、。！？!?，,．.]{1,12})[ \t　]*[：:][ \t　]*(.+)\z"
+NOT_SPEAKER = r"(?i)^(?:SE|ＳＥ|M|Ｍ|BGM|ＢＧＭ|[0-9０-９]+|(?:[0-9０-９]+)?(?:コマ|ページ|P|Ｐ)目?[0-9０-９]*|場所|時間|時|人物|登場人物|柱|ト書き?|注|メモ|備考)\z"
+STAGE_NOTE = r"^[（(][^（）()]*[）)]\s*|\s*[（(][^（）()]*[）)]\z"
