@@ -10,8 +10,8 @@ from tools_compare import TABLES, canonical
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no driver tables")
-#: Nothing on these tables fits, whatever the scale: addresses stand in text there, never inside tags.
-EMPTY = {"urls_in_comments", "metric_rules", "section_sizes", "hit_density"}
+#: Too few rows fit at this scale; they have some on the larger tables.
+EMPTY = {"section_sizes"}
 
 
 @pytest.fixture(scope="module")

@@ -138,9 +138,9 @@ def masked_text(spark, d):
     return spn.blanked(_pages(spark, d), _all_spans(spark, d)).select("doc_id", F.md5("visible").alias("visible_md5"), F.length("visible").alias("n_chars"))
 
 
-def urls_in_comments(spark, d):
-    """Addresses that overlap an HTML comment or tag: the interval semi-join."""
-    urls = bare_url_spans(spark, d).select("doc_id", F.col("s").alias("lo"), F.col("e").alias("hi"))
+def urls_near_tags(spark, d):
+    """Addresses with a tag within 40 characters after them: the interval semi-join."""
+    urls = bare_url_spans(spark, d).select("doc_id", F.col("s").alias("lo"), (F.col("e") + 40).alias("hi"))
     return spn.overlapping(urls, spn.find_spans(_pages(spark, d), "text", spn.TAG, "html_token"))
 
 
@@ -179,6 +179,12 @@ def turn_line_multisets(spark, d):
     return cfm.line_multisets(_pairs(spark, d))
 
 
+def turn_heading_shapes(spark, d):
+    """Headings of neighbouring turns, taking a turn's first sentence of each line as a heading.  Rows only: the pairing is greedy."""
+    mark = lambda c: F.array_join(F.transform(F.split(c, "\n"), lambda x: F.concat(F.lit("# "), F.substring_index(x, ".", 1))), "\n").alias(c)
+    return dff.heading_shapes(dff.headings(_pairs(spark, d).select("pair_id", mark("orig"), mark("rewrite"))))
+
+
 def turn_opcodes(spark, d):
     """Character alignment; rows only, since SQL has no difflib."""
     return dff.opcodes(_pairs(spark, d))
@@ -381,7 +387,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS pa
     "masked_text": f"""WITH {_MERGED}, lagged AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM merged),
 parts AS (SELECT l.doc_id, string_agg(substr(html, (b + 1)::BIGINT, (s - b)::BIGINT) || repeat(' ', (e - s)::BIGINT), '' ORDER BY s) AS v, max(e) AS last FROM lagged l JOIN pages ON page_id = l.doc_id GROUP BY l.doc_id)
 SELECT page_id AS doc_id, md5(coalesce(v || substr(html, (last + 1)::BIGINT), html)) AS visible_md5, length(html) AS n_chars FROM pages LEFT JOIN parts ON page_id = doc_id""",
-    "urls_in_comments": f"WITH {_SPANS} SELECT doc_id, s AS lo, s + length(h) AS hi FROM u WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = u.doc_id AND t.s < u.s + length(u.h) AND t.e > u.s)",
+    "urls_near_tags": f"WITH {_SPANS} SELECT doc_id, s AS lo, s + length(h) + 40 AS hi FROM u WHERE EXISTS (SELECT 1 FROM t WHERE t.doc_id = u.doc_id AND t.s < u.s + length(u.h) + 40 AND t.e > u.s)",
     "turn_diff_words": rf"""WITH {_P}, x AS (SELECT pair_id, list_sort(list_filter(list_distinct(regexp_extract_all(rewrite, '[A-Za-z]{{4,}}')), lambda w: NOT contains(orig, w))) AS new_words,
   list_sort(list_filter(list_distinct(regexp_extract_all(orig, '[A-Za-z]{{4,}}')), lambda w: NOT contains(rewrite, w))) AS lost_words FROM p) SELECT * FROM x WHERE len(new_words) > 0 OR len(lost_words) > 0""",
     "turn_marker_delta": rf"""WITH {_P}, k AS (SELECT unnest([{{'kind': 'the', 'p': '\bthe\b'}}, {{'kind': 'question', 'p': '\?'}}, {{'kind': 'and', 'p': '\band\b'}}, {{'kind': 'stop', 'p': '\.'}}], recursive := true)),
@@ -425,6 +431,6 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 
 QUERIES = {f.__name__: f for f in (
     penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
-    hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_in_comments, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
-    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
+    hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_near_tags, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
+    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
