@@ -107,3 +107,18 @@ def test_conformance(spark):
     assert conform.damaged_lines(texts.text_lines(damaged)).count() == 3
     changes = spark.createDataFrame([(1, "M", "a"), (1, "D", "b"), (2, "A", "c")], "id int, status string, path string")
     assert {r.id: r.structural for r in conform.structural(changes, "id").collect()} == {1: True, 2: False}
+
+
+def test_index_rows_and_ids(spark):
+    text = "### Rules\n| name | what |\n|---|---|\n| `a` | 1 |\n| `d` | 2 |\n\n### Other\n| `b` | x |"
+    docs = spark.createDataFrame([(1, text), (2, "none")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in conform.insert_row(docs, "Rules", "c", "new").collect()}
+    assert got[1].split("\n")[3:6] == ["| `a` | 1 |", "| `c` | new |", "| `d` | 2 |"] and got[2] == "none"
+    assert conform.insert_row(docs, "Rules", "z", "new").filter("doc_id = 1").first().text.split("\n")[5] == "| `z` | new |"
+    assert conform.insert_row(docs, "Rules", "a", "new").filter("doc_id = 1").first().text == text
+    names = spark.createDataFrame([("good",), ("Bad",), ("a",)], "name string")
+    files = spark.createDataFrame([("a",)], "name string")
+    assert {r.name: r.problem for r in conform.name_problems(names, files).collect()} == {"Bad": "not lower case letters, digits and hyphens", "a": "exists already"}
+    side = lambda t: spark.createDataFrame([(t,)], "text string")
+    assert {(r.name, r.problem) for r in conform.id_sync(side("R-1 R-2"), side("x R-2 R-3"), r"R-[0-9]+").collect()} == {("R-1", "unlisted"), ("R-3", "orphan")}
+    assert [r.id for r in conform.unresolved(spark.createDataFrame([('[{"id":"a","isResolved":true},{"id":"b"}]',)], "raw string"), "raw").collect()] == ["b"]

@@ -137,3 +137,39 @@ def status_gaps(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """Keys whose status differs, or is there on one side only."""
     a, b = expected.select(key, F.col("status").alias("expected")), actual.select(key, F.col("status").alias("actual"))
     return a.join(b, key, "full_outer").filter(~F.col("expected").eqNullSafe(F.col("actual")))
+
+
+def insert_row(docs: DataFrame, heading: str, name: str, summary: str) -> DataFrame:
+    """docs (doc_id, text) with a row for ``name`` in the table below ``heading``, before the first row of a later name.
+
+    A document without such a table, or whose table has the name already, stays as it is.
+    """
+    lines = text_lines(docs)
+    title = F.when(F.col("raw").rlike(r"^#{1,6} "), strip(F.regexp_replace("raw", r"^#{1,6} ", "")))
+    rows = lines.withColumn("title", F.last(title, ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("line")))
+    own = F.when((F.col("title") == heading) & F.col("raw").startswith("|"), F.nullif(F.regexp_extract("raw", r"^\|\s*`([^`]+)`\s*\|", 1), F.lit("")))
+    table = (F.col("title") == heading) & F.col("raw").startswith("|")
+    place = rows.withColumn("own", own).groupBy("doc_id").agg(F.min(F.when(F.col("own") > name, F.col("line"))).alias("before"), F.max(F.when(table, F.col("line"))).alias("last"), F.bool_or(F.coalesce(F.col("own") == name, F.lit(False))).alias("there"))
+    new = place.filter("last is not null and not there").select("doc_id", F.coalesce(F.col("before") - 0.5, F.col("last") + 0.5).alias("line"), F.lit(f"| `{name}` | {summary} |").alias("raw"))
+    every = lines.select("doc_id", F.col("line").cast("double").alias("line"), "raw").unionByName(new)
+    return every.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("x")).select("doc_id", F.array_join(F.transform("x", lambda r: r["raw"]), "\n").alias("text"))
+
+
+def name_problems(names: DataFrame, files: DataFrame) -> DataFrame:
+    """names (name) that are no valid names or that a file has already."""
+    taken = files.select(F.col("name").alias("t_name")).distinct()
+    rows = names.join(taken, F.col("name") == F.col("t_name"), "left")
+    problem = F.when(~F.col("name").rlike(NAME), "not lower case letters, digits and hyphens").when(F.col("t_name").isNotNull(), "exists already")
+    return rows.select("name", problem.alias("problem")).filter("problem is not null")
+
+
+def id_sync(spec: DataFrame, code: DataFrame, pattern: str) -> DataFrame:
+    """Ids that texts of one side (text) name and those of the other don't: two anti-joins of extracted ids."""
+    ids = lambda d: d.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("name"))
+    return two_way(ids(spec), ids(code))
+
+
+def unresolved(threads: DataFrame, raw: str) -> DataFrame:
+    """id of the entries of a JSON array that are not marked as resolved."""
+    kind = "array<struct<id:string,isResolved:boolean>>"
+    return threads.select(F.explode(F.from_json(raw, kind)).alias("x")).filter(~F.coalesce(F.col("x.isResolved"), F.lit(False))).select(F.col("x.id").alias("id"))
