@@ -13,7 +13,7 @@ from textloom.llm.op7_ngram_join import near_stage
 from textloom.llm.op8_quality_rules import rules_stage
 from textloom.llm.op9_packing import packing_stage
 from textloom.llm.op10_line_dedup import line_dedup_stage
-from textloom.llm.store import run_dir
+from textloom.llm.store import RUNS, remove, run_dir, sweep
 
 STAGES = [
     ("quality rules", rules_stage),
@@ -28,9 +28,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  Once a stage is written, its own folders and its input's copy are removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     home = run_dir(spark, "pipeline")
     for number, (_, stage) in enumerate(STAGES):
+        made = len(RUNS)
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{number}")
         docs = spark.read.parquet(f"{home}/{number}")
+        sweep(made)
+        remove(f"{home}/{number - 1}")
     return docs

@@ -139,7 +139,8 @@ def _write_shards(home: str, path: str, end: int, most: int):
 def write_shards(docs: DataFrame, home: str, vocabulary: str, end: int, shard_ids: int = 16 << 20) -> DataFrame:
     """Writes the shards below ``home``; doc_id, twin, shard, offset, n_tokens of every row."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ordered = text.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = text.repartitionByRange(first).sortWithinPartitions(first, F.xxhash64("text"))  # a task that runs again writes the same shard
     return settle(ordered.mapInArrow(_write_shards(home, vocabulary, end, shard_ids), ROWS), f"{home}/rows")
 
 

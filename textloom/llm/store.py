@@ -35,9 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir()
 
 
+#: Folders of this session that ``sweep`` has not removed yet.
+RUNS: list[str] = []
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one; its files outlive the call because the result is read from them lazily."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    RUNS.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return RUNS[-1]
+
+
+def sweep(keep: int = 0) -> None:
+    """Remove this session's folders but the first ``keep``: for callers that have written every result they need."""
+    while len(RUNS) > keep:
+        remove(RUNS.pop())
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
