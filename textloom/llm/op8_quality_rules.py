@@ -89,7 +89,11 @@ def frequent_lines(lines: DataFrame, docs: DataFrame, share: float = 0.05, min_d
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, max_lost: float = 0.7, share: float = 0.05, min_docs: int = 5) -> DataFrame:
     """One row per row of docs: counts, n_lost_words, n_lost_lines, base_failed and kept."""
-    home = run_dir(docs.sparkSession, "rules")
+    return _verdicts(docs, run_dir(docs.sparkSession, "rules"), min_words, max_repeat, max_lost, share, min_docs)[0]
+
+
+def _verdicts(docs: DataFrame, home: str, min_words: int = 50, max_repeat: int = 50, max_lost: float = 0.7, share: float = 0.05, min_docs: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``quality_rules`` with the tables of lines and of frequent lines, both written below ``home``."""
     lines = settle(host_lines(docs), f"{home}/lines")
     frequent = settle(frequent_lines(lines, docs, share, min_docs), f"{home}/frequent")
     hit = salted_join(lines, frequent, ["host", "line"], F.col("thash"))
@@ -102,10 +106,11 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, ma
     rows = base.join(lost, base["host"].eqNullSafe(F.col("l_host")) & (base["thash"] == F.col("l_thash")), "left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     n = F.coalesce(F.col("n_lost_words"), F.lit(0))
-    return rows.select(
+    rows = rows.select(
         "doc_id", "host", "thash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         n.alias("n_lost_words"), F.coalesce("n_lost_lines", F.lit(0)).alias("n_lost_lines"), (~failed & (n <= max_lost * F.col("n_words"))).alias("kept"),
     )
+    return rows, lines, frequent
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -115,10 +120,10 @@ def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
 def rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the rules keep, without their lines above the limit."""
     home = run_dir(spark, "rules-stage")
-    verdict = settle(quality_rules(docs).filter("kept").select("doc_id", "host", "thash", "n_lost_lines").distinct(), f"{home}/kept")
-    lines = settle(frequent_lines(host_lines(docs), docs), f"{home}/frequent")
+    rows, lines, frequent = _verdicts(docs, home)
+    verdict = settle(rows.filter("kept").select("doc_id", "host", "thash", "n_lost_lines").distinct(), f"{home}/kept")
     bad = verdict.filter("n_lost_lines > 0").select(F.col("host").alias("v_host"), F.col("thash").alias("v_thash")).distinct()
-    held = salted_join(host_lines(docs), lines, ["host", "line"], F.col("thash")).join(bad, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("thash") == F.col("v_thash")), "left_semi")
+    held = salted_join(lines, frequent, ["host", "line"], F.col("thash")).join(bad, F.col("host").eqNullSafe(F.col("v_host")) & (F.col("thash") == F.col("v_thash")), "left_semi")
     drop = held.groupBy(F.col("host").alias("d_host"), F.col("thash").alias("d_thash")).agg(F.collect_set("line").alias("gone"))
     keep = verdict.select(F.col("doc_id").alias("k_id"), F.col("host").alias("k_host"), F.col("thash").alias("k_thash"))
     keep = keep.join(drop, F.col("k_host").eqNullSafe(F.col("d_host")) & (F.col("k_thash") == F.col("d_thash")), "left")
