@@ -299,6 +299,42 @@ def test_line_dedup(docs, corpus, no_docs, w, k):
     assert op10_line_dedup.dedup_lines(no_docs, w, k).count() == 0
 
 
+def brute_wordy(rows, run, least):
+    """Texts left when shorter runs of ``least`` words count too, by (doc_id, text)."""
+    norm = lambda x: " ".join(words(x.lower()))
+    first, split = {}, []
+    for d, t in rows:
+        full = [i for i, x in enumerate(t.split("\n")) if norm(x)]
+        keys = [norm(t.split("\n")[i]) for i in full]
+        runs = [(s, n) for n in range(1, run + 1) for s in range(len(keys) - n + 1) if n == run or sum(len(k.split(" ")) for k in keys[s : s + n]) >= least]
+        split.append((d, t, full, keys, runs))
+        for s, n in runs:
+            k = tuple(keys[s : s + n])
+            first[k] = min(first.get(k, (d, s)), (d, s))
+    out = []
+    for d, t, full, keys, runs in split:
+        gone = {full[s + j] for s, n in runs if first[tuple(keys[s : s + n])] < (d, s) for j in range(n)}
+        out.append((d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)))
+    return sorted(out)
+
+
+def test_line_dedup_takes_long_runs_of_few_lines(spark):
+    line = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    one, half, short = line("a", 60), line("b", 30) + "\n" + line("c", 25), line("d", 49)
+    rows = [(1, one), (2, "x\n" + one.upper()), (3, half), (4, f"y\n\n{half}\nz"), (5, short), (6, short), (7, line("b", 30) + "\nq"), (8, one), (9, f"{one}\nu\n{one}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.text) for r in op10_line_dedup.line_dedup_stage(spark, docs, "").collect())
+    assert got == brute_wordy(rows, 3, 50)
+    assert dict(got) == {1: one, 2: "x", 3: half, 4: "y\n\nz", 5: short, 6: short, 7: rows[6][1], 8: "", 9: "u"}
+
+
+def test_line_dedup_with_words_is_brute_force(spark, corpus):
+    rows = sorted({(d, t) for d, t, _ in corpus if d is not None and t is not None})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = op10_line_dedup.dedup_lines(docs, words=12).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == brute_wordy(rows, 3, 12)
+
+
 def test_stages(spark, docs, no_docs):
     pipeline = pytest.importorskip("corpus_pipeline")
     table = docs

@@ -6,8 +6,11 @@ A text is a sequence of its non-blank lines, normalised (case and blanks) and ha
 positions; each is extended both ways to the runs of ``w + k - 1`` lines around it; a run equal to one that starts at
 an earlier (doc_id, line) is deleted.  Overlaps count, and runs are judged on the input, not on what is left.
 
-Cases: a null text stays null, a text of fewer than ``w + k - 1`` non-blank lines stays as it is; blank lines are
-neither counted nor deleted; rows with equal doc_id are at equal positions, so neither is earlier and identical rows
+With ``words`` a shorter run counts too when its lines have that many words together; such runs are few and are compared
+as they are, without fingerprints.  The pipeline's stage does so; the query does not, since its SQL knows runs of 3 lines.
+
+Cases: a null text stays null, a text of fewer than ``w + k - 1`` non-blank lines stays as it is unless ``words`` is
+given; blank lines are neither counted nor deleted; rows with equal doc_id are at equal positions, so neither is earlier and identical rows
 get the same result; a null doc_id comes first; an empty table gives an empty result; other columns are kept.
 """
 
@@ -26,17 +29,32 @@ def winnowed(grams: Column, w: int) -> Column:
     return F.when(F.size(grams) >= w, F.array_distinct(best(grams)))
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, thash, hs (hashes of the non-blank normalised lines) of every distinct row."""
+def line_hashes(docs: DataFrame, counted: bool = False) -> DataFrame:
+    """doc_id, thash, hs (hashes of the non-blank normalised lines) and, if counted, ws (their words) of every row."""
     norm = lambda t: F.filter(F.transform(F.split(t, "\n"), norm_line), lambda x: x != "")
-    return docs.select("doc_id", F.xxhash64("text").alias("thash"), F.transform(norm(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
+    if not counted:
+        return docs.select("doc_id", F.xxhash64("text").alias("thash"), F.transform(norm(F.col("text")), lambda x: F.xxhash64(x)).alias("hs"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("thash"), F.transform(norm(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.regexp_count(x, F.lit(" ")) + 1).alias("w"))).alias("x"))
+    return rows.select("doc_id", "thash", F.col("x.h").alias("hs"), F.col("x.w").alias("ws"))
+
+
+def wordy_runs(texts: DataFrame, run: int, words: int) -> DataFrame:
+    """doc_id, thash, s, r (hash), n (lines) of every run of fewer than ``run`` lines that has ``words`` words or more."""
+
+    def of(n: int) -> Column:
+        total = lambda s: F.aggregate(F.slice("ws", s, n), F.lit(0), lambda a, b: a + b)
+        starts = F.when(F.size("hs") >= n, F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("hs") - (n - 1))), lambda s: total(s) >= words)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.struct(s.alias("s"), F.xxhash64(F.lit(n), F.slice("hs", s, n)).alias("r"), F.lit(n).alias("n")))
+
+    return texts.select("doc_id", "thash", F.inline(F.concat(*[of(n) for n in range(1, run)])))
 
 
-def repeated_lines(docs: DataFrame, w: int, k: int, home: str) -> DataFrame:
+def repeated_lines(docs: DataFrame, w: int, k: int, home: str, words: int | None = None) -> DataFrame:
     """doc_id, thash, at (sorted positions, from 1, among the non-blank lines, that are to be deleted)."""
     run = w + k - 1
-    texts = settle(line_hashes(docs).filter(F.size("hs") >= run).distinct(), f"{home}/texts")
-    grams = lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - k + 1), lambda i: F.xxhash64(F.slice(h, i, k)))
+    known = settle(line_hashes(docs, words is not None).filter(F.size("hs") >= (run if words is None else 1)).distinct(), f"{home}/texts")
+    texts = known.filter(F.size("hs") >= run)
+    grams = lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - k + 1)), lambda i: F.xxhash64(F.slice(h, i, k)))
     prints = texts.select("doc_id", "thash", F.size("hs").alias("n"), let(grams(F.col("hs")), lambda g: F.transform(winnowed(g, w), lambda p: F.struct(p.alias("p"), F.get(g, p - 1).alias("g")))).alias("fp"))
     prints = settle(prints.select("doc_id", "thash", "n", F.inline("fp")), f"{home}/prints")
     shared = prints.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("g")
@@ -45,20 +63,23 @@ def repeated_lines(docs: DataFrame, w: int, k: int, home: str) -> DataFrame:
     t2 = texts.select(F.col("doc_id").alias("t_id"), F.col("thash").alias("t_hash"), "hs")
     near = near.join(t2, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("thash") == F.col("t_hash")))
     runs = near.select("doc_id", "thash", F.explode(F.transform("ss", lambda s: F.struct(s.alias("s"), F.xxhash64(F.slice("hs", s, run)).alias("r")))).alias("x")).select("doc_id", "thash", "x.*")
+    runs = runs.withColumn("n", F.lit(run))
+    if words is not None and run > 1:
+        runs = runs.unionByName(wordy_runs(known, run, words))
     runs = settle(runs, f"{home}/runs")
     first = runs.groupBy("r").agg(F.min(F.struct("doc_id", "s")).alias("first"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
     later = salted_join(runs, first, ["r"], F.xxhash64("doc_id", "s")).filter(F.struct("doc_id", "s") > F.col("first"))
-    gone = later.select("doc_id", "thash", F.explode(F.sequence(F.col("s"), F.col("s") + run - 1)).alias("p"))
+    gone = later.select("doc_id", "thash", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("n") - 1)).alias("p"))
     return gone.groupBy("doc_id", "thash").agg(F.sort_array(F.collect_set("p")).alias("at"))
 
 
-def dedup_lines(docs: DataFrame, w: int = 2, k: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, w: int = 2, k: int = 2, words: int | None = None) -> DataFrame:
     """docs with their later repeated runs deleted from ``text``, and n_lines (non-blank), n_removed and n_runs.
 
     Columns of docs with these three names are replaced.
     """
     home = run_dir(docs.sparkSession, "lines")
-    gone = settle(repeated_lines(docs, w, k, home), f"{home}/gone").withColumnsRenamed({"doc_id": "_id", "thash": "_hash", "at": "_at"})
+    gone = settle(repeated_lines(docs, w, k, home, words), f"{home}/gone").withColumnsRenamed({"doc_id": "_id", "thash": "_hash", "at": "_at"})
     rows = carried(docs, "doc_id", "text").withColumn("_thash", F.xxhash64("text"))
     # always by sorting: whether the deletions fit a broadcast must not decide how much the texts move
     rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["_thash"] == gone["_hash"]), "left")
@@ -84,9 +105,9 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-def line_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def line_dedup_stage(spark, docs: DataFrame, sf_dir: str, words: int = 50) -> DataFrame:
     own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    out = dedup_lines(carried(docs, *own).withColumnRenamed("_carried", "_rest")).withColumnRenamed("_rest", "_carried")
+    out = dedup_lines(carried(docs, *own).withColumnRenamed("_carried", "_rest"), words=words).withColumnRenamed("_rest", "_carried")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(restored(out, docs.columns, *own))
