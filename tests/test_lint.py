@@ -116,3 +116,16 @@ def test_allow_and_project_terms(spark):
     got = {(r.doc_id, r.rule, r.label) for r in rows.collect()}
     assert (1, "slop_vocabulary", "触媒") in got and (1, "slop_vocabulary", "等身大") not in got
     assert (2, "project_term", "サーバー") in got and not [g for g in got if g[0] == 3]
+
+
+def test_lines_without_wide_characters(spark):
+    """Dashes below U+2300, an ASCII line that breaks a run of endings, ASCII lines of speech."""
+    names = "\n\n".join(f"「{c}だと思う。」" for c in "一二三四五六七八九")
+    texts = [
+        "Foo — bar", "A — b — c", "one ― two", "準備です。\nThis one is plain.\n実行です。\n確認です。", "準備です。\n実行です。\n確認です。", f"{names}\n\nBob: ok", names,
+        "\n\n".join(["「一だと思う。」"] * 6 + ["「二だと思う」"] * 4 + ["Bob: ok"] * 3),
+    ]
+    rows, _, lines = lint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(r.doc_id, r.rule, r.line) for r in rows.collect() if r.rule.startswith("dash_") or r.rule in ("sentence_end_repetition", "dialogue_period")}
+    lines.unpersist()
+    assert got == {(0, "dash_decoration", 1), (1, "dash_insertion", 1), (2, "dash_decoration", 1), (4, "sentence_end_repetition", 3), (5, "dialogue_period", 1)}

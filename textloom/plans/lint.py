@@ -269,7 +269,7 @@ def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: l
     """(findings, metrics, lines) of docs (doc_id, text).  ``lines`` is cached for the rules; unpersist it when done."""
     lines = scan_columns(lines_of(parse_documents(docs))).persist()
     # a finding of these rules needs a character of this range in its own line, so the filter loses none; rules that carry
-    # text over lines see all lines
+    # or count something over lines see all lines, and dashes begin below the range
     wide = lines.filter(F.col("raw").rlike("[\u2300-\U0010FFFF]"))
     plain = lines.filter(~F.col("kind").isin([*NOT_TEXT, "table"]) & (F.col("quote_depth") == 0))
     listed = F.when(F.col("list_item"), F.regexp_extract("raw", r"^\s*(?:[-*+]|[0-9]+[.)])\s+", 0)).otherwise("")
@@ -277,8 +277,8 @@ def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: l
     negative = negations(wide)
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
-        whole, endings(wide), emoji(wide), dashes(wide), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
-        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), narrative(lines), dialogue(wide), project_terms(lines, flags or {}),
+        whole, endings(lines), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
+        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), narrative(lines), dialogue(lines), project_terms(lines, flags or {}),
     ]
     found = reduce(DataFrame.unionByName, [p.select(*[F.col(c) for c in COLUMNS]) for p in parts])
     if allowed:
