@@ -153,6 +153,19 @@ def test_mixing(docs, corpus, no_docs):
     assert op6_mixing.mix(no_docs).count() == 0
 
 
+def test_mixing_gives_small_sources_their_target(spark):
+    """Sources and shards of a few words beside one of 20 million."""
+    big = spark.range(20).selectExpr("id doc_id", "repeat('a ', 1000000) text", "'big' source")
+    small = spark.createDataFrame([(100, "a b c", "tiny"), (101, "a b c d e f g", "z"), (102, "h", "z")], "doc_id long, text string, source string")
+    for per in (1, 4_000):
+        by, target = defaultdict(int), {}
+        for r in op6_mixing.mix(big.unionByName(small), docs_per_shard=per).collect():
+            by[r.source] += r.taken
+            target[r.source] = r.target
+        assert by["tiny"] == target["tiny"] == 9 and by["z"] == target["z"] == 24
+        assert sum(by.values()) == 20_000_011
+
+
 def test_sainte_lague_by_hand():
     assert op6_mixing.sainte_lague([53, 24, 23], [99, 99, 99], 7).tolist() == [3, 2, 2]
     assert op6_mixing.sainte_lague([1, 1], [1, 5], 4).tolist() == [1, 3]

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Every source gets a target number of words; the corpus is cut into equal blocks of words; blocks go to sources, and
-within a source to its shards, by highest quotients; each shard then takes its quota from its documents in a seeded
-order, going round again when the quota is larger than the shard.
+Every source gets a target number of words; the words of the corpus are the seats, which go to sources, and within a
+source to its shards, by highest quotients; each shard then takes its quota from its documents in a seeded order, going
+round again when the quota is larger than the shard.  Seats of more words than one would round small sources and shards
+away; the divisor is searched by bisection, so the number of seats costs nothing.
 
 Cases: a null text has size 0; a null source is a source of its own, last in order; a source of size 0 has target 0;
 repeated rows are separate rows (equal ones are interchangeable); an empty table gives an empty result; columns beyond
@@ -70,38 +71,35 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFra
     return w.select("source", "source_size", "n_docs", F.coalesce(F.least("top", F.col("level") * F.col("w")), F.lit(0.0)).alias("target"))
 
 
-def _source_seats(block: int, cap: int):
+def _source_seats(cap: int):
     def seats(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", na_position="last", kind="stable").reset_index(drop=True)
-        caps = pdf["source_size"].astype("int64") * cap // block
-        return pdf.assign(seats=sainte_lague(pdf["target"], caps, int(round(pdf["target"].sum() / block))))
+        return pdf.assign(seats=sainte_lague(pdf["target"], pdf["source_size"].astype("int64") * cap, int(round(pdf["target"].sum()))))
 
     return seats
 
 
-def _shard_seats(block: int, cap: int):
+def _shard_seats(cap: int):
     def seats(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("shard").reset_index(drop=True)
-        return pdf.assign(quota=sainte_lague(pdf["shard_size"], pdf["shard_size"].astype("int64") * cap // block, int(pdf["seats"].iloc[0])) * block)
+        return pdf.assign(quota=sainte_lague(pdf["shard_size"], pdf["shard_size"].astype("int64") * cap, int(pdf["seats"].iloc[0])))
 
     return seats
 
 
-def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, blocks: int = 1 << 20, docs_per_shard: int = 4_000, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row; ``blocks`` equal blocks make up the corpus."""
+def mix(docs: DataFrame, weights=(1, 2, 3), cap: int = 3, docs_per_shard: int = 4_000, seed: int = 17) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row."""
     spark, home = docs.sparkSession, run_dir(docs.sparkSession, "mix")
     sized = settle(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), f"{home}/sized")
     sized = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     sources = settle(source_targets(sources, weights, cap), f"{home}/sources")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, -(-total // blocks))
-    seats = sources.groupBy().applyInPandas(_source_seats(block, cap), "source string, source_size long, n_docs long, target double, seats long")
+    seats = sources.groupBy().applyInPandas(_source_seats(cap), "source string, source_size long, n_docs long, target double, seats long")
     seats = settle(seats, f"{home}/seats")
     dealt = salted_join(sized, seats, ["source"], F.col("h"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("h"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / docs_per_shard))))
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("seats").alias("seats"))
-    quotas = shards.groupBy("source").applyInPandas(_shard_seats(block, cap), "source string, shard long, shard_size long, seats long, quota long")
+    quotas = shards.groupBy("source").applyInPandas(_shard_seats(cap), "source string, shard long, shard_size long, seats long, quota long")
     quotas = settle(quotas, f"{home}/quotas").select(F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size", "quota")
     rows = dealt.join(quotas, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     order = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
