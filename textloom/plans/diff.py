@@ -1,13 +1,14 @@
 """Original against rewrite: one row per pair in, one relation per question out.
 
 Input: pairs(pair_id, orig, rewrite).  Everything here is DataFrame expressions but ``opcodes`` and
-``ending_changes``, whose alignment is sequential within a pair and runs in one Arrow stage.
+``ending_changes``, whose alignment is sequential within a pair and runs in one Arrow stage, and ``best_texts``.
 """
 
 from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,6 +132,55 @@ def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.2) -> DataFra
     return best.select("key", "l_id", "x.r_id", "x.both", "x.union")
 
 
+def _pair_codes(text: str) -> np.ndarray:
+    """Distinct pairs of neighbouring characters as sorted numbers."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    return np.unique(c[:-1] << 21 | c[1:])
+
+
+def _best_stage(ids: list[int], codes: list[np.ndarray], least: float, step: int = 1_000):
+    """The best right row of a batch for each item, by a product of 0/1 tables over the items' pairs."""
+    known, sizes = np.unique(np.concatenate([np.empty(0, np.int64), *codes])), np.array([len(c) for c in codes], np.int64)
+
+    def best(batches):
+        items = np.zeros((len(codes), len(known)), np.float32)
+        for i, c in enumerate(codes):
+            items[i, np.searchsorted(known, c)] = 1
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).sort_by([("id", "ascending")])  # nulls last
+            for at in range(0, rows.num_rows, step):
+                part = rows.slice(at, step)
+                has, n = np.zeros((part.num_rows, len(known)), np.float32), np.zeros(part.num_rows, np.int64)
+                for k, text in enumerate(part["text"].to_pylist()):
+                    c = _pair_codes(text)
+                    n[k] = len(c)
+                    has[k, np.searchsorted(known, c[np.isin(c, known)])] = 1
+                both = (items @ has.T).astype(np.int64)
+                union = sizes[:, None] + n[None, :] - both
+                score = np.where((both > 0) & (both * 1.0 >= least * union), both / np.maximum(union, 1), -1.0)
+                top = score.argmax(axis=1)  # the first of equals has the smallest id
+                r_ids = part["id"].to_pylist()
+                hit = [(i, k) for i, k in enumerate(top.tolist()) if score[i, k] >= 0]
+                cols = [[ids[i] for i, _ in hit], [r_ids[k] for _, k in hit], [int(both[i, k]) for i, k in hit], [int(union[i, k]) for i, k in hit], [float(score[i, k]) for i, k in hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 4 + [pa.float64()], strict=True)], ["l_id", "r_id", "both", "union", "score"])
+
+    return best
+
+
+def best_texts(left: DataFrame, right: DataFrame, least: float = 0.2) -> DataFrame:
+    """l_id, r_id, both, union: for each left row the right row with the highest bigram Jaccard, all pairs compared.
+
+    left, right: (id, text).  Ties go to the smaller r_id.  left is a list of items that every task holds; right may be
+    any table, and only the best row of each item and batch is moved.
+    """
+    items = left.select(F.col("id").cast("long"), "text").filter("text is not null").collect()
+    stage = _best_stage([r[0] for r in items], [_pair_codes(r[1]) for r in items], least)
+    rows = right.select(F.col("id").cast("long").alias("id"), "text").filter("text is not null")
+    got = rows.mapInArrow(stage, "l_id long, r_id long, both long, union long, score double") if items else rows.limit(0).selectExpr("id l_id", "id r_id", "id both", "id union", "0D score")
+    best = got.groupBy("l_id").agg(F.max(F.struct("score", (-F.col("r_id")).alias("neg"), "r_id", "both", "union")).alias("x"))
+    return best.select("l_id", "x.r_id", "x.both", "x.union")
+
+
 def _ratio_stage(kind: str):
     def changes(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("seq", "ascending")]).to_pylist()

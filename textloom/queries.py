@@ -201,6 +201,12 @@ def bigram_pairing(spark, d):
     return dff.best_pairs(items, rows, 0.2)
 
 
+def bigram_pairing_texts(spark, d):
+    """For each benchmark item the most similar document, both as whole texts and all pairs compared, in an Arrow stage; no SQL."""
+    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
+    return dff.best_texts(items, _docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 0.2)
+
+
 def label_sync(spark, d):
     docs = _docs(spark, d).select(F.col("doc_id").alias("name"))
     return cfm.two_way(docs, spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("name")))
@@ -432,5 +438,5 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 QUERIES = {f.__name__: f for f in (
     penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
     hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_near_tags, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
-    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
+    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, bigram_pairing_texts, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
