@@ -31,6 +31,18 @@ def test_encoder_is_plain_encoding(corpus):
             assert ids[offsets[i] : offsets[i + 1]].tolist() == want, texts[i]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_is_the_library_by_default(corpus, name):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    texts = ["a <|endoftext|> b", "<|startoftext|>a", "<|ENDOFTEXT|>", "x<|endoftext|><|endoftext|>.", "<|endoftext", "plain words", *[t or "" for _, t, _ in corpus]]
+    ids, offsets = encoding.Encoder(path).encode(pa.array(texts, pa.string()))
+    for i, want in enumerate(Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == want.ids, texts[i]
+
+
 def test_token_store(spark, docs, corpus, no_docs):
     home = run_dir(spark, "t")
     path = public_tokenizers.path("word_bpe_49k.json")

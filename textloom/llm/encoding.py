@@ -48,7 +48,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.hard = "|".join([_HARD, *(f"(?i:{x})" for x in added)])  # the library finds these strings before it cuts
         self.word_ends = bool(self.tok.model.end_of_word_suffix)  # such a vocabulary drops blanks and folds case
         self.model, self.letters = self.tok.model, _byte_letters()
         self.pieces: dict[str, tuple] = {"": ()}
@@ -89,7 +90,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row as uint32, offsets): those of text i are ids[offsets[i]:offsets[i + 1]]."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _HARD)
+        odd = pc.match_substring_regex(texts, self.hard)
         hard = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
         easy = pc.if_else(odd, "", texts) if len(hard) else texts
         cut = pc.split_pattern(pc.replace_substring_regex(easy, _CUT, "\\1\0\\2\0"), " ")
