@@ -220,6 +220,55 @@ def test_ngram_join(docs, corpus, no_docs, hot):
     assert op7_ngram_join.near_documents(no_docs).count() == 0
 
 
+def near_copies(pairs, words_each, changes, first=0):
+    """(doc_id, text) of ``pairs`` random texts and a copy of each with ``changes`` words replaced."""
+    r, rows = np.random.default_rng(words_each), []
+    for i in range(pairs):
+        text = [f"w{x}" for x in r.integers(0, 10**6, words_each)]
+        other = list(text)
+        for at in np.linspace(3, words_each - 4, changes).astype(int):
+            other[at] = f"x{i}"
+        rows += [(first + 2 * i, " ".join(text)), (first + 2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_ngram_join_tells_equal_ids_apart(spark):
+    """One id that also has another text: each text links for itself."""
+    pairs = near_copies(12, 400, 1)
+    other = [(2 * i, " ".join(f"v{i}-{j}" for j in range(300))) for i in range(12)]
+    got = op7_ngram_join.near_documents(spark.createDataFrame(pairs + other, "doc_id long, text string"), entries=500).collect()
+    assert {r.component_id for r in got if r.doc_id % 2} == {2 * i for i in range(12)}
+    assert len(op7_ngram_join.near_stage(spark, spark.createDataFrame(pairs + other, "doc_id long, text string"), "").collect()) == 24
+
+
+@pytest.mark.parametrize("twos", [0, 1, 99])
+def test_segments_of_either_weight_find_similar_sets(twos):
+    """Whatever the allocation: sets that differ as much as they may share a key with spare weight left."""
+    r = np.random.default_rng(3)
+    top = op7_ngram_join.tops(3000)
+    for s in range(1, len(top)):
+        t = int(top[s])
+        most = (op7_ngram_join.differ_of(t) + 1 + op7_ngram_join.spare_of(op7_ngram_join.differ_of(t))) // 2
+        scheme = op7_ngram_join.Scheme(s, t, min(twos, most))
+        assert scheme.segments + scheme.twos == op7_ngram_join.differ_of(t) + 1 + scheme.spare
+        for _ in range(20):
+            x = np.unique(r.integers(0, 2**63, t).astype(np.uint64))
+            gone = op7_ngram_join.differ_of(t)
+            y = np.concatenate([x[gone // 2 + gone % 2 :], r.integers(0, 2**63, gone // 2).astype(np.uint64)])
+            if 100 * len(np.intersect1d(x, y)) < 80 * len(np.union1d(x, y)):
+                continue
+            d, key, _ = scheme.keys(np.concatenate([x, y]), np.array([len(x), len(y)]))
+            assert set(key[d == 0].tolist()) & set(key[d == 1].tolist())
+
+
+def test_allocation_follows_the_cost():
+    """Neighbourhoods where many sets share frequent shingles, exact segments where pairs by chance are rare."""
+    assert op7_ngram_join.allocation(300, 10**9, 1e-4) > op7_ngram_join.allocation(300, 10**7, 1e-4) > 0
+    assert op7_ngram_join.allocation(300, 10**5, 1e-7) == 0
+    assert all(op7_ngram_join.allocation(t, 1, 0.0) == 0 for t in (50, 500, 5000))
+
+
+
 def test_scheme_sizes_meet():
     """Sets that can be similar always have a scheme in common."""
     top = op7_ngram_join.tops(3000)
