@@ -4,17 +4,20 @@ Every ``length``-byte string (gram) of the corpus has one key, the smallest hash
 so equal grams have equal keys wherever they are, and neighbouring grams mostly share theirs: a stretch of grams with
 one key costs one entry.  The work goes from cheap to exact:
 
-1. texts are written to the shared folder in parts; each stretch sends its key to a bucket;
-2. keys that two documents hold are sent back; only their stretches send their bytes;
-3. a bucket settles whole equal stretches first, and sorts the grams of the others by their bytes, equal ones by
-   document: the bounded-context Burrows-Wheeler order.  The transform (the byte before each gram) is kept as runs
-   with the document sampled at the run ends.  The first sample of a class of equal grams is its earliest document,
-   and the statistic of each gram, whether its longest match with an earlier document reaches ``length``, is read
-   off the runs of its class;
+1. texts are written to the shared folder in parts; each part sends each key once, with the smallest and the largest
+   document that hold it, to the key's bucket;
+2. keys that two documents hold are sent back; only their stretches send their bytes, equal stretches of a few MB of
+   text once, for their smallest document (the others are settled where they are);
+3. a bucket settles equal stretches, and indexes the others key by key: ``RunIndex`` is a run-compressed
+   Burrows-Wheeler transform with the positions at both ends of each run and the common prefix between runs.  From
+   these samples it streams, in text order, for each gram the longest match with the string before it in the order and
+   the place of that match; grams joined by matches of ``length`` are equal, and all but those of the earliest document
+   of such a class are marked;
 4. the marked grams go back to their parts, where the covered bytes are cut out.
 
-A full suffix order over the corpus would have to lie in one place; grams of one key lie in one bucket, which is all
-that a match of ``length`` bytes needs, and the order within it is exact, so the result is too.
+A suffix order over the corpus would have to lie in one place; grams of one key lie in one bucket, which is all that a
+match of ``length`` bytes needs, and the order within it is exact, so the result is too.  What a bucket gets is bounded
+by the different stretches of a key and the slices that hold it, not by their occurrences.
 
 Cases: a null text is an empty one; texts shorter than ``length`` stay whole; rows with equal doc_id never remove from
 each other; a null doc_id counts as smallest; an empty table gives an empty result; columns beyond doc_id and text are
@@ -129,7 +132,36 @@ def _by_bucket(bucket: np.ndarray):
             yield int(bucket[low]), slice(low, high)
 
 
-ENTRIES = "bucket long, part long, bytes long, ids binary, rows binary, counts binary, starts binary, keys binary"
+ENTRIES = "bucket long, part long, bytes long, keys binary, least binary, most binary"
+
+
+def _reduced(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each key once, with the smallest and the largest document."""
+    order = np.argsort(key, kind="stable")
+    key, low, high = key[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], np.minimum.reduceat(low, first) if len(first) else low, np.maximum.reduceat(high, first) if len(first) else high
+
+
+def _sliced(rows: list[int], texts: list[bytes], most: int = 4 << 20):
+    """The rows in slices of a few MB of text."""
+    low = 0
+    while low < len(rows):
+        high, total = low, 0
+        while high < len(rows) and (high == low or total + len(texts[rows[high]]) <= most):
+            total += len(texts[rows[high]])
+            high += 1
+        yield np.array(rows[low:high])
+        low = high
+
+
+def _numbers(ids: list, rows: np.ndarray) -> np.ndarray:
+    return np.array([NULL if ids[i] is None else ids[i] for i in rows.tolist()], np.int64)
+
+
+def _places(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket and low half of each key as one number."""
+    return ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64) << 32 | (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _scan(home: str, length: int, taps: int, buckets: int, most: int):
@@ -142,30 +174,17 @@ def _scan(home: str, length: int, taps: int, buckets: int, most: int):
             nonlocal number, ids, texts, held
             part = task * 1_000_000 + number
             _write_part(home, part, ids, texts)
-            lead = sorted(set(leaders(ids, texts)))
-            cols, low = [[] for _ in range(8)], 0
-            while low < len(lead):  # a few MB of text at a time
-                high, total = low, 0
-                while high < len(lead) and (high == low or total + len(texts[lead[high]]) <= 4 << 20):
-                    total += len(texts[lead[high]])
-                    high += 1
-                rows = np.array(lead[low:high])
-                of, start, _, key = stretches([texts[i] for i in rows], length, taps)
-                bucket = ((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((of, bucket))
-                of, start, key = of[order], start[order], key[order]
-                for b, s in _by_bucket(bucket[order]):
-                    d, n = np.unique(of[s], return_counts=True)
-                    table = np.array([NULL if ids[i] is None else ids[i] for i in rows[d].tolist()], "<i8")
-                    for c, x in zip(cols, (b, part, 0, table.tobytes(), rows[d].astype("<u4").tobytes(), n.astype("<u4").tobytes(), start[s].astype("<u4").tobytes(), (key[s] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()), strict=True):
-                        c.append(x)
-                low = high
-            cols[0].append(-1)  # the part itself, which may have no stretches at all
-            for c, x in zip(cols[1:], (part, held, b"", b"", b"", b"", b""), strict=True):
-                c.append(x)
+            found = [(np.zeros(0, np.int64),) * 3]
+            for rows in _sliced(sorted(set(leaders(ids, texts))), texts):
+                of, _, _, key = stretches([texts[i] for i in rows], length, taps)
+                doc = _numbers(ids, rows)[of]
+                found.append(_reduced(_places(key, buckets), doc, doc))
+            place, least, largest = _reduced(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            out = [(-1, part, held, b"", b"", b"")]  # the part itself, which may have no stretches at all
+            out += [(b, part, 0, (place[s] & 0xFFFFFFFF).astype("<u4").tobytes(), least[s].astype("<i8").tobytes(), largest[s].astype("<i8").tobytes()) for b, s in _by_bucket(place >> 32)]
             number, ids, texts, held = number + 1, [], [], 0
-            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["bucket", "part", "bytes", "ids", "rows", "counts", "starts", "keys"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "part", "bytes", "keys", "least", "most"])
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -184,100 +203,162 @@ def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(column).to_pylist())])
 
 
-SHARED = "part long, rows binary, starts binary"
+SHARED = "part long, bucket long, keys binary"
 
 
 def _shared():
-    """The stretches whose key two documents hold, by part; of a bucket -1, every part with nothing."""
+    """The keys that two documents hold, by part; of a bucket -1, every part with nothing."""
 
     def shared(table: pa.Table) -> pa.Table:
-        if table.column("bucket")[0].as_py() < 0:
-            return pa.table({"part": table.column("part"), "rows": pa.array([b""] * len(table), pa.binary()), "starts": pa.array([b""] * len(table), pa.binary())})
-        n = _joined(table, "counts", "<u4")
-        of = np.repeat(np.arange(len(n)), n)
-        key, doc = _joined(table, "keys", "<u4"), _joined(table, "ids", "<i8")[of]
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0])) if len(key) else np.zeros(0, np.int64)
-        d = doc[order]
-        many = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first) if len(first) else np.zeros(0, bool)
-        keep = np.sort(order[np.repeat(many, np.diff(np.append(first, len(key))))])
-        per_blob = [len(x) // 4 for x in table.column("counts").to_pylist()]
-        part = np.repeat(table.column("part").to_numpy(), per_blob)[of][keep]
-        row, start = _joined(table, "rows", "<u4")[of][keep], _joined(table, "starts", "<u4")[keep]
+        bucket = table.column("bucket")[0].as_py()
+        if bucket < 0:
+            return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "keys": pa.array([b""] * len(table), pa.binary())})
+        key, least, most = (_joined(table, c, t) for c, t in (("keys", "<u4"), ("least", "<i8"), ("most", "<i8")))
+        part = np.repeat(table.column("part").to_numpy(), [len(x) // 4 for x in table.column("keys").to_pylist()])
+        every, low, high = _reduced(key, least, most)
+        wanted = (low < high)[np.searchsorted(every, key)]
+        key, part = key[wanted], part[wanted]
         order = np.argsort(part, kind="stable")
-        out = [(b, row[order][s].tobytes(), start[order][s].tobytes()) for b, s in _by_bucket(part[order])]
-        cols = [*zip(*out, strict=True)] or [[], [], []]
-        return pa.table({"part": pa.array(cols[0], pa.int64()), "rows": pa.array(cols[1], pa.binary()), "starts": pa.array(cols[2], pa.binary())})
+        out = [(b, key[order][s].tobytes()) for b, s in _by_bucket(part[order])]
+        return pa.table({"part": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary())})
 
     return shared
 
 
-PIECES = "bucket long, part long, docs binary, rows binary, starts binary, grams binary, keys binary, data binary"
+PIECES = "bucket long, part long, docs binary, grams binary, keys binary, data binary, codes binary, rows binary, starts binary, marks binary"
 
 
-def _cut(home: str, length: int, taps: int, buckets: int):
-    """The bytes of the shared stretches of one part, by bucket."""
+def _distinct(data: bytes, size: np.ndarray) -> np.ndarray:
+    """Number of each string among the distinct ones, in order of their first places."""
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    strings = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+    return strings.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def _full(lens: np.ndarray) -> np.ndarray:
+    return (np.int64(1) << lens.astype(np.int64)) - 1
+
+
+def _cut(home: str, length: int, taps: int, buckets: int, finer: int):
+    """The bytes of the different shared stretches of each slice of one part, by bucket.
+
+    A stretch is sent for the smallest document of the slice that holds it, with all its places in that document; the
+    places in later documents are settled: their marks go to the part's own bucket, -1 - part.
+    """
 
     def cut(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        row, start = _joined(table, "rows", "<u4").astype(np.int64), _joined(table, "starts", "<u4").astype(np.int64)
-        cols: list[list] = [[] for _ in range(8)]
-        ids, texts = read_part(home, part) if len(row) else ([], [])
-        want = np.sort(row << 32 | start)
-        rows, low = np.unique(row).tolist(), 0
-        while low < len(rows):
-            high, total = low, 0
-            while high < len(rows) and (high == low or total + len(texts[rows[high]]) <= 4 << 20):
-                total += len(texts[rows[high]])
-                high += 1
-            here = np.array(rows[low:high])
-            of, at, n, key = stretches([texts[i] for i in here], length, taps)
-            code = here[of] << 32 | at
-            hit = want[np.minimum(np.searchsorted(want, code), len(want) - 1)] == code
+        per = [len(x) // 4 for x in table.column("keys").to_pylist()]
+        want = np.sort(np.repeat(table.column("bucket").to_numpy(), per) << 32 | _joined(table, "keys", "<u4").astype(np.int64))
+        ids, texts = read_part(home, part) if len(want) else ([], [])
+        out: list[tuple] = []
+        for rows in _sliced(sorted(set(leaders(ids, texts))), texts):
+            of, at, n, key = stretches([texts[i] for i in rows], length, taps)
+            place = _places(key, buckets)
+            hit = want[np.minimum(np.searchsorted(want, place), len(want) - 1)] == place
             of, at, n, key = of[hit], at[hit], n[hit], key[hit]
-            bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            if not len(of):
+                continue
+            data = b"".join([texts[rows[o]][a : a + k + length - 1] for o, a, k in zip(of.tolist(), at.tolist(), n.tolist(), strict=True)])
+            size, doc = n + length - 1, _numbers(ids, rows)[of]
+            code = _distinct(data, size)
+            least = np.full(code.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, code, doc)
+            lead = np.unique(code, return_index=True)[1]
+            later = np.flatnonzero(doc > least[code])
+            if len(later):
+                out.append((-1 - part, part, *[b""] * 5, rows[of[later]].astype("<u4").tobytes(), at[later].astype("<u4").tobytes(), _full(n[later]).astype("<i8").tobytes()))
+            begin, flat = np.cumsum(size) - size, memoryview(data)
+            bucket = ((key[lead] >> np.uint64(20)) % np.uint64(finer)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            of, at, n, key = of[order], at[order], n[order], key[order]
+            number = np.empty(len(lead), np.int64)  # of a distinct stretch within its bucket
+            held = np.flatnonzero(doc == least[code])
+            held = held[np.argsort(bucket[code[held]], kind="stable")]
+            cuts = {b: s for b, s in _by_bucket(bucket[code[held]])}
             for b, s in _by_bucket(bucket[order]):
-                docs = np.array([NULL if ids[i] is None else ids[i] for i in here[of[s]].tolist()], "<i8")
-                data = b"".join([texts[here[o]][a : a + k + length - 1] for o, a, k in zip(of[s].tolist(), at[s].tolist(), n[s].tolist(), strict=True)])
-                for c, x in zip(cols, (b, part, docs.tobytes(), here[of[s]].astype("<u4").tobytes(), at[s].astype("<u4").tobytes(), n[s].astype(np.uint8).tobytes(), key[s].astype("<u8").tobytes(), data), strict=True):
-                    c.append(x)
-            low = high
-        return pa.table({"bucket": pa.array(cols[0], pa.int64()), "part": pa.array(cols[1], pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("docs", "rows", "starts", "grams", "keys", "data"), cols[2:], strict=True)}})
+                mine, places = lead[order[s]], held[cuts[b]]
+                number[order[s]] = np.arange(len(mine))
+                pieces = b"".join([flat[x : x + y] for x, y in zip(begin[mine].tolist(), size[mine].tolist(), strict=True)])
+                out.append((b, part, least[order[s]].astype("<i8").tobytes(), n[mine].astype(np.uint8).tobytes(), key[mine].astype("<u8").tobytes(), pieces, number[code[places]].astype("<u4").tobytes(), rows[of[places]].astype("<u4").tobytes(), at[places].astype("<u4").tobytes(), b""))
+        names = ["bucket", "part", "docs", "grams", "keys", "data", "codes", "rows", "starts", "marks"]
+        cols = [*zip(*out, strict=True)] or [[]] * len(names)
+        return pa.table({c: pa.array(x, pa.int64() if c in ("bucket", "part") else pa.binary()) for c, x in zip(names, cols, strict=True)})
 
     return cut
 
 
 class RunIndex:
-    """Bounded-context Burrows-Wheeler order of grams, as runs with documents sampled at their ends."""
-
-    def __init__(self, data: np.ndarray, at: np.ndarray, doc: np.ndarray, length: int):
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        words = [sum(padded[at + o + i].astype(np.uint64) << np.uint64(56 - 8 * i) for i in range(8)) for o in range(0, length - 7, 8)]
-        if length % 8:
-            words.append(sum(padded[at + length - 8 + i].astype(np.uint64) << np.uint64(56 - 8 * i) for i in range(8)))
-        self.order = np.lexsort((doc, *reversed(words)))
-        new = np.zeros(len(at), bool)
-        new[:1] = True
-        for w in words:
-            w = w[self.order]
-            new[1:] |= w[1:] != w[:-1]
-        before = np.where(at > 0, padded[at - 1], 0)[self.order]
-        run = new.copy()
-        run[1:] |= before[1:] != before[:-1]
-        self.head = np.flatnonzero(run)  # runs of the transform, cut where a class of equal grams begins
-        self.sample = doc[self.order][self.head]
-        self.opens = new[self.head]  # the run is the first of its class
-        self.doc = doc
-
-    def earlier(self) -> np.ndarray:
-        """Whether a gram's longest match with an earlier document has the full length."""
-        least = self.sample[np.maximum.accumulate(np.where(self.opens, np.arange(len(self.head)), 0))]
-        of = np.repeat(np.arange(len(self.head)), np.diff(np.append(self.head, len(self.order))))
-        out = np.zeros(len(self.order), bool)
-        out[self.order] = self.doc[self.order] > least[of]
-        return out
+    """Run-compressed Burrows-Wheeler transform of strings, with samples at the ends of its runs.
+
+    The transform orders the places of all grams of the strings, and one more place of each, by what follows them up to
+    their string's end; its column is the byte before each place.  Only the ends of its runs of equal bytes are kept: of
+    each run the place at its head, the place at the end of the run before, and the length of their common prefix.  The
+    first place of a string has no byte before it and is a run of its own.
+
+    Where two neighbours of the order have the same byte before them, the places of these bytes are neighbours too, with
+    one byte more in common.  So in text order, from one run head to the next, the neighbour moves on by one place and
+    the common prefix loses one byte: ``statistics`` streams both for all places from the samples alone.  (Places close
+    to a string's end are not all there, but no such place lies between two grams that have ``length`` bytes in common.)
+    """
+
+    def __init__(self, data: np.ndarray, size: np.ndarray, length: int):
+        self.length, self.size = length, size
+        per, begin = size - length + 2, np.cumsum(size) - size
+        self.string = np.repeat(np.arange(len(size)), per)
+        self.offset = np.arange(len(self.string)) - np.repeat(np.cumsum(per) - per, per)
+        at, left = begin[self.string] + self.offset, size[self.string] - self.offset
+        padded = np.concatenate([data, np.zeros(int(size.max(initial=0)) + 16, np.uint8)])
+        eight = np.empty(len(padded) - 8, ">u8")
+        for o in range(8):
+            part = padded[o : o + (len(padded) - o) // 8 * 8].view(">u8")
+            eight[o::8] = part[: len(eight[o::8])]
+        eight = eight.astype(np.uint64)
+        words = []
+        for o in range(0, int(size.max(initial=0)), 8):
+            short = (8 * (8 - np.clip(left - o, 0, 8))).astype(np.uint64)
+            words.append(np.where(short < 64, eight[at + o] >> (short & np.uint64(63)) << (short & np.uint64(63)), np.uint64(0)))
+        order = np.lexsort((self.string, left, *reversed(words)))
+        column = np.where(self.offset > 0, padded[at - 1].astype(np.int16), -1)[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (column[1:] != column[:-1]) | (column[1:] < 0)
+        head = np.flatnonzero(new)
+        self.head = order[head]
+        self.before = np.where(head > 0, order[head - 1], self.head)  # the end of the run before
+        self.common = np.where(head > 0, self._common([w[self.head] ^ w[self.before] for w in words], np.minimum(left[self.head], left[self.before])), 0)
+
+    @staticmethod
+    def _common(apart: list[np.ndarray], most: np.ndarray) -> np.ndarray:
+        """Equal bytes at the front, from the differences of words of eight."""
+        out, open_ = np.zeros(len(most), np.int64), np.ones(len(most), bool)
+        for x in apart:
+            same = sum((x < np.uint64(1 << (8 * b))).astype(np.int64) for b in range(1, 8)) + (x == 0)
+            out += np.where(open_, same, 0)
+            open_ &= x == 0
+        return np.minimum(out, most)
+
+    def statistics(self) -> tuple[np.ndarray, np.ndarray]:
+        """(longest match with the neighbour before it in the order, place of that neighbour) of every place, in text order."""
+        rank = np.argsort(self.head)
+        place = self.head[rank]
+        last = np.zeros(len(self.string), np.int64)
+        last[place] = np.arange(len(place))
+        last = np.maximum.accumulate(last)
+        moved = np.arange(len(self.string)) - place[last]
+        return self.common[rank][last] - moved, self.before[rank][last] + moved
+
+    def repeated(self, doc: np.ndarray) -> np.ndarray:
+        """Whether each gram (string by string) also starts in a document smaller than its own; doc: of each string."""
+        match, place = self.statistics()
+        same = np.where(match >= self.length, place, np.arange(len(match)))
+        while True:  # to the first of its class, by doubled steps
+            further = same[same]
+            if np.array_equal(further, same):
+                break
+            same = further
+        of = doc[self.string]
+        least = np.full(len(match), np.iinfo(np.int64).max)
+        np.minimum.at(least, same, of)
+        return (of > least[same])[self.offset <= (self.size - self.length)[self.string]]
 
 
 MARKS = "part long, rows binary, starts binary, marks binary"
@@ -285,16 +366,16 @@ MARKS = "part long, rows binary, starts binary, marks binary"
 
 def _mark(length: int, most: int = 1 << 18):
     def mark(table: pa.Table) -> pa.Table:
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(["part", "rows", "starts", "marks"])
         data, lens = b"".join(table.column("data").to_pylist()), _joined(table, "grams", np.uint8).astype(np.int64)
-        doc, row, start, key = (_joined(table, c, t) for c, t in (("docs", "<i8"), ("rows", "<u4"), ("starts", "<u4"), ("keys", "<u8")))
-        part = np.repeat(table.column("part").to_numpy(), [len(x) for x in table.column("grams").to_pylist()])
+        doc, key = _joined(table, "docs", "<i8"), _joined(table, "keys", "<u8")
         size = lens + length - 1
         begin = np.cumsum(size) - size
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(begin, len(data)).astype(np.int64)), pa.py_buffer(data)])
-        code = pieces.dictionary_encode().indices.to_numpy().astype(np.int64)
+        code = _distinct(data, size)
         least = np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, code, doc)
-        marks = np.where(doc > least[code], (np.int64(1) << lens) - 1, 0)
+        marks = np.where(doc > least[code], _full(lens), 0)
         # one stretch of each kind, by its earliest document, where its key has several kinds
         lead = np.flatnonzero(doc == least[code])
         lead = lead[np.unique(code[lead], return_index=True)[1]]
@@ -304,20 +385,27 @@ def _mark(length: int, most: int = 1 << 18):
         n = np.diff(np.append(first, len(k)))
         lead, n = lead[np.repeat(n > 1, n)], n[n > 1]
         flat, found = np.frombuffer(data, np.uint8), np.zeros(len(least), np.int64)
-        ends, low = np.cumsum(lens[lead])[np.cumsum(n) - 1] if len(n) else np.zeros(0, np.int64), 0
-        bounds = np.cumsum(n)
+        bounds, low = np.cumsum(n), 0
+        ends = np.cumsum(lens[lead])[bounds - 1] if len(n) else np.zeros(0, np.int64)
         while low < len(n):  # whole keys, about ``most`` grams at a time
             high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, side="right")))
             some = lead[bounds[low] - n[low] : bounds[high - 1]]
+            own = size[some]
+            text = flat[np.repeat(begin[some] - (np.cumsum(own) - own), own) + np.arange(own.sum())]
+            hit = RunIndex(text, own, length).repeated(doc[some])
             g = np.repeat(np.arange(len(some)), lens[some])
             j = np.arange(len(g)) - np.repeat(np.cumsum(lens[some]) - lens[some], lens[some])
-            hit = RunIndex(flat, begin[some][g] + j, doc[some][g], length).earlier()
             np.bitwise_or.at(found, code[some][g[hit]], np.int64(1) << j[hit])
             low = high
         marks |= found[code]
-        keep = np.flatnonzero(marks)
+        # the places of each stretch take its marks
+        kinds, places = ([len(x) // w for x in table.column(c).to_pylist()] for c, w in (("docs", 8), ("codes", 4)))
+        first = np.cumsum([0, *kinds[:-1]])
+        mine = marks[np.repeat(first, places) + _joined(table, "codes", "<u4")]
+        part, row, start = np.repeat(table.column("part").to_numpy(), places), _joined(table, "rows", "<u4"), _joined(table, "starts", "<u4")
+        keep = np.flatnonzero(mine)
         keep = keep[np.argsort(part[keep], kind="stable")]
-        out = [(b, row[keep][s].tobytes(), start[keep][s].tobytes(), marks[keep][s].astype("<i8").tobytes()) for b, s in _by_bucket(part[keep])]
+        out = [(b, row[keep][s].tobytes(), start[keep][s].tobytes(), mine[keep][s].astype("<i8").tobytes()) for b, s in _by_bucket(part[keep])]
         cols = [*zip(*out, strict=True)] or [[], [], [], []]
         return pa.table({"part": pa.array(cols[0], pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("rows", "starts", "marks"), cols[1:], strict=True)}})
 
@@ -366,9 +454,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, taps: int = 24, entries: i
     scanned = rows.mapInArrow(_scan(home, length, taps, buckets, part_bytes), ENTRIES)
     shared = settle(scanned.groupBy("bucket").applyInArrow(_shared(), SHARED), f"{home}/shared")
     parts = max(1, -(-total // part_bytes))  # a task for each part: its work follows its text, not what the shuffle moves
-    pieces = shared.repartition(parts, "part").groupBy("part").applyInArrow(_cut(home, length, taps, 4 * buckets), PIECES)
+    pieces = shared.repartition(parts, "part").groupBy("part").applyInArrow(_cut(home, length, taps, buckets, 4 * buckets), PIECES)
     marks = settle(pieces.groupBy("bucket").applyInArrow(_mark(length), MARKS), f"{home}/marks")
-    every = shared.filter(F.length("rows") == 0).select("part", "rows", "starts", F.lit(b"").alias("marks"))
+    every = shared.filter("bucket < 0").select("part", *[F.lit(b"").alias(c) for c in ("rows", "starts", "marks")])
     return marks.unionByName(every).repartition(parts, "part").groupBy("part").applyInArrow(_remove(home, length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
