@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import filesystem, remove, run_dir, salted_join, settle, write_file
+from .store import by_file, filesystem, remove, run_dir, salted_join, settle, write_file
 
 RECORDS = "shard long, number long, page_id long, payload_bytes long, payload_digest string"
 PLACES = "shard long, number long, page_id long, offset long, length long"
@@ -172,7 +172,8 @@ def _normalise(home: str, level: int):
 
 def normalise(records: DataFrame, home: str, level: int = 4) -> DataFrame:
     """Rewrites every monolithic file of ``records`` (with its revisits) member by member; the places of all records."""
-    places = settle(records.groupBy("shard").applyInArrow(_normalise(home, level), PLACES), f"{home}/places")
+    files = records.agg(F.countDistinct("shard")).first()[0]
+    places = settle(by_file(records, "shard", files).groupBy("shard").applyInArrow(_normalise(home, level), PLACES), f"{home}/places")
     remove(f"{home}/mono")
     return places
 
@@ -209,7 +210,8 @@ def _read(home: str):
 
 def read_archives(shards: DataFrame, home: str) -> DataFrame:
     """Every record of the archives named by ``shards`` (column shard), found by the index beside each archive."""
-    return shards.select("shard").distinct().mapInArrow(_read(home), READ)
+    names = shards.select("shard").distinct()
+    return by_file(names, "shard", names.count()).mapInArrow(_read(home), READ)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import crc, encoder, slices, with_end
-from .store import filesystem, run_dir, settle, write_file
+from .store import by_file, filesystem, run_dir, settle, write_file
 
 HEAD = "<8sII"
 MAGIC = b"TLIDS001"
@@ -214,7 +214,7 @@ def _lookup(home: str):
 
 def lookup(keys: DataFrame, home: str, parts: int) -> DataFrame:
     """shard, offset, n_tokens of the keys (doc_id, twin) that the index holds; keys that it doesn't hold give no row."""
-    return with_part(keys.select("doc_id", "twin"), parts).groupBy("part").applyInArrow(_lookup(home), ROWS)
+    return by_file(with_part(keys.select("doc_id", "twin"), parts), "part", parts).groupBy("part").applyInArrow(_lookup(home), ROWS)
 
 
 def _read(home: str, most: int):
@@ -241,7 +241,7 @@ def _read(home: str, most: int):
 
 def read_payloads(places: DataFrame, home: str, stretch: int = 2 << 20) -> DataFrame:
     """The places with the crc32 of their ids, from the shards."""
-    return places.groupBy("shard").applyInArrow(_read(home, stretch), ROWS + ", ids_crc32 long")
+    return by_file(places, "shard", places.agg(F.countDistinct("shard")).first()[0]).groupBy("shard").applyInArrow(_read(home, stretch), ROWS + ", ids_crc32 long")
 
 
 def shard_bases(rows: DataFrame) -> DataFrame:
@@ -256,7 +256,8 @@ def op2_token_store(spark, sf_dir: str) -> DataFrame:
 
     home = run_dir(spark, "ids")
     rows = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), home, public_tokenizers.path("word_bpe_49k.json"), 2)
-    places = read_payloads(lookup(rows, home, build_index(rows, home)), home)
+    places = settle(lookup(rows, home, build_index(rows, home)), f"{home}/places")
+    places = read_payloads(places, home)
     bases = settle(shard_bases(rows), f"{home}/bases")
     out = places.join(bases, places["shard"] == bases["b_shard"])
     return out.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -7,6 +7,7 @@ The folder is ``spark.checkpoint.dir`` of the session.  Only a local session tha
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
@@ -51,6 +52,13 @@ def sweep(keep: int = 0) -> None:
         remove(RUNS.pop())
 
 
+@atexit.register
+def _last() -> None:
+    """What a query still read from when the driver ended."""
+    with contextlib.suppress(Exception):
+        sweep()
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """pyarrow file system and path of a URI (file, hdfs, s3, gs, abfs); a bare path is a local one."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -113,6 +121,11 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def by_file(rows: DataFrame, column: str, files: int) -> DataFrame:
+    """rows dealt by the number of a file, a task for each of ``files``: the work follows the files' bytes, not the rows' size."""
+    return rows.repartition(max(1, min(files, 20_000)), column)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], salt, how: str = "inner", salts: int = 16) -> DataFrame:
     """Equi-join (nulls equal) whose left side may have hot keys and whose right side has one row per key.
 
