@@ -16,9 +16,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .encoding import slices
+from .store import run_dir, settle
+
+SLICE = 8 << 20  # bytes of text scored at once
+
 STEP, TAPS, CHUNK = 4, 3, 64  # bytes a step, steps a filter spans, steps a chunk
 BYTES = STEP * CHUNK
 REACH = STEP * (TAPS - 1)
@@ -141,11 +146,16 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, seed: int = 11) -> Net | float:
-    """The net, or a constant score where the sample has one class or none."""
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_bytes: int = 64 << 20, seed: int = 11) -> Net | float:
+    """The net, or a constant score where the sample has one class or none.
+
+    The sample: at most max_train labelled rows in the order of a hash, and of those as many as hold max_bytes together.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train).toArrow()
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_train)
+    so_far = Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("so_far", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(so_far)).filter(F.col("so_far") <= max_bytes).drop("so_far").toArrow()
     y = rows.column("quality").to_numpy() if len(rows) else np.zeros(0)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
@@ -154,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 4000, seed: int = 1
 
 def _scores(net: Net | float):
     def score(batches):
-        for batch in batches:
-            texts = [x or b"" for x in batch.column("text").to_pylist()]
-            got = np.full(len(texts), net) if isinstance(net, float) else net.score(texts)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64())], ["doc_id", "held_out", "score"])
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                texts = [x or b"" for x in batch.column("text").to_pylist()]
+                got = np.full(len(texts), net) if isinstance(net, float) else net.score(texts)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got, pa.float64())], ["doc_id", "held_out", "score"])
 
     return score
 
@@ -166,7 +177,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_tra
     """doc_id, held_out, score and predicted of every row of docs."""
     net = fit(docs, labels, max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    scored = rows.mapInArrow(_scores(net), "doc_id long, held_out boolean, score double")
+    scored = settle(rows.mapInArrow(_scores(net), "doc_id long, held_out boolean, score double"), f"{run_dir(docs.sparkSession, 'quality')}/scores")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
