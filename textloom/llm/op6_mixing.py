@@ -116,13 +116,17 @@ def op6_mixing_sources(spark, sf_dir: str) -> DataFrame:
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole copies, then the first words of a document taken in part.
 
-    Rows with the same doc_id and size get what the mix takes of the one that it takes most of.
+    Rows are matched with the mix by doc_id, source and size; rows equal in all three are numbered on both sides, so
+    each takes what the mix takes of one of them.
     """
-    mixed = mix(docs).filter("taken > 0").groupBy(F.col("doc_id").alias("m_id"), F.col("size").alias("m_size")).agg(F.max("taken").alias("taken"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    own = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    rows = carried(docs, *own).withColumn("_size", size)
-    rows = rows.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("_size") == F.col("m_size")))
+    own = [c for c in ("doc_id", "text", "source", "n_chars") if c in docs.columns]
+    key = lambda i, s, n: F.xxhash64(i, s, n)
+    mixed = mix(docs).select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), "taken", key("doc_id", "source", "size").alias("m_key"))
+    mixed = mixed.withColumn("m_number", F.row_number().over(Window.partitionBy("m_key").orderBy("m_id", "m_source", "m_size", "taken")))
+    rows = carried(docs, *own).withColumn("_size", size).withColumn("_key", key("doc_id", "source", "_size"))
+    rows = rows.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id", "source", "_size", F.xxhash64("text"))))
+    rows = rows.join(mixed.hint("merge"), (F.col("_key") == F.col("m_key")) & (F.col("_number") == F.col("m_number"))).filter("taken > 0")
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("m_size")).cast("int"))))
     left = F.col("taken") - (F.col("_copy") - 1) * F.col("m_size")
     head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left.cast("int")), "")
