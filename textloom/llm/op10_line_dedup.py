@@ -23,6 +23,11 @@ from .op8_quality_rules import let, norm_line
 from .store import carried, restored, run_dir, salted_join, settle
 
 
+def named(*of: Column) -> Column:
+    """A 128-bit name, so that runs are told apart in a corpus of any size."""
+    return F.struct(F.xxhash64(*of).alias("a"), F.xxhash64(F.lit(1), *of).alias("b"))
+
+
 def winnowed(grams: Column, w: int) -> Column:
     """Positions of the smallest of every w grams in a row, the first of equals."""
     best = lambda g: F.transform(F.sequence(F.lit(1), F.size(g) - w + 1), lambda s: s + F.array_position(F.slice(g, s, w), F.array_min(F.slice(g, s, w))).cast("int") - 1)
@@ -44,7 +49,7 @@ def wordy_runs(texts: DataFrame, run: int, words: int) -> DataFrame:
     def of(n: int) -> Column:
         total = lambda s: F.aggregate(F.slice("ws", s, n), F.lit(0), lambda a, b: a + b)
         starts = F.when(F.size("hs") >= n, F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("hs") - (n - 1))), lambda s: total(s) >= words)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct(s.alias("s"), F.xxhash64(F.lit(n), F.slice("hs", s, n)).alias("r"), F.lit(n).alias("n")))
+        return F.transform(starts, lambda s: F.struct(s.alias("s"), named(F.lit(n), F.slice("hs", s, n)).alias("r"), F.lit(n).alias("n")))
 
     return texts.select("doc_id", "thash", F.inline(F.concat(*[of(n) for n in range(1, run)])))
 
@@ -62,7 +67,7 @@ def repeated_lines(docs: DataFrame, w: int, k: int, home: str, words: int | None
     near = near.groupBy("doc_id", "thash").agg(F.collect_set("s").alias("ss"))
     t2 = texts.select(F.col("doc_id").alias("t_id"), F.col("thash").alias("t_hash"), "hs")
     near = near.join(t2, F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("thash") == F.col("t_hash")))
-    runs = near.select("doc_id", "thash", F.explode(F.transform("ss", lambda s: F.struct(s.alias("s"), F.xxhash64(F.slice("hs", s, run)).alias("r")))).alias("x")).select("doc_id", "thash", "x.*")
+    runs = near.select("doc_id", "thash", F.explode(F.transform("ss", lambda s: F.struct(s.alias("s"), named(F.lit(run), F.slice("hs", s, run)).alias("r")))).alias("x")).select("doc_id", "thash", "x.*")
     runs = runs.withColumn("n", F.lit(run))
     if words is not None and run > 1:
         runs = runs.unionByName(wordy_runs(known, run, words))
