@@ -444,7 +444,7 @@ def _classes(docs: DataFrame, k: int, entries: int, hot: int, split: int) -> tup
     rows = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("pq", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("p"), F.greatest("part", o).alias("q")))))
     # small groups share a cell, so that a call of the Python stage is worth its while; parts of a split group have one each
-    cells = max(1, rows_of(f"{home}/mixed", docs.sparkSession) // 20_000)
+    cells = max(1, rows_of(f"{home}/mixed", docs.sparkSession) // 5_000)
     cell = F.when(F.col("parts") > 1, F.xxhash64("gid", "scheme", "pq")).otherwise(F.pmod(F.xxhash64("gid", "scheme"), F.lit(cells)))
     rows = rows.select(cell.alias("cell"), "gid", "scheme", "node", "comp", "n", "sketch", "early", "part", "pq.p", "pq.q")
     more = rows.groupBy("cell").applyInArrow(_across(), "a binary, b binary").distinct()
