@@ -1,4 +1,4 @@
-"""Column functions shared by the plans: blanks, bigrams, rates, versions, scores."""
+"""Column functions shared by the plans: blanks, rates, versions, scores."""
 
 from __future__ import annotations
 
@@ -18,19 +18,6 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, f"{BLANK}+", "")
 
 
-def bigrams(text: Column) -> Column:
-    """Distinct pairs of neighbouring characters; none for texts shorter than 2."""
-    return F.when(F.length(text) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.substr(text, i, F.lit(2)))))
-
-
-def shared(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)).cast("long")
-
-
-def either(a: Column, b: Column) -> Column:
-    return F.size(F.array_union(a, b)).cast("long")
-
-
 def per_thousand(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part * 1000.0, whole), F.lit(0.0))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import bigrams, either, shared, strip
+from textloom.functions.text import strip
 from textloom.operators.markdown import lines_of, parse_documents
 from textloom.operators.segments import pieces
 
@@ -86,10 +86,9 @@ ENDINGS = [
 
 
 def bare_end(sentence: Column) -> Column:
-    """A sentence without marks, final stops and bracketed remarks after them (up to three)."""
-    t = F.regexp_replace(strip(F.regexp_replace(sentence, r"\*\*|`", "")), r"[。．.！!？?]+\z", "")
-    for _ in range(3):
-        t = F.regexp_replace(t, r"\s*[（(][^（()）]*[）)]\s*\z", "")
+    """A sentence without marks, final stops and the bracketed remarks after them."""
+    t = strip(F.regexp_replace(strip(F.regexp_replace(sentence, r"\*\*|`", "")), r"[。．.！!？?]+\z", ""))
+    t = F.regexp_replace(t, r"(?:\s*[（(][^（）()]*[）)])+\z", "")
     return F.regexp_replace(t, r"[」』）)]+\z", "")
 
 
@@ -119,19 +118,6 @@ def comma_rates(pairs: DataFrame, comma: str = "、", ends: str = "。！？!?",
     return out.withColumn("rose", (F.col("commas_rewrite") - F.col("commas_orig") >= more) & (F.col("n_orig") > 0) & (F.col("n_rewrite") > 0) & rise)
 
 
-def best_pairs(left: DataFrame, right: DataFrame, least: float = 0.2) -> DataFrame:
-    """key, l_id, r_id, both, union: for each left row the right row of the same key with the highest bigram Jaccard.
-
-    left, right: (key, id, text).  Ties go to the smaller r_id.
-    """
-    a = left.select("key", F.col("id").alias("l_id"), bigrams(F.col("text")).alias("a"))
-    b = right.select("key", F.col("id").alias("r_id"), bigrams(F.col("text")).alias("b"))
-    rows = a.join(b, "key").withColumns({"both": shared(F.col("a"), F.col("b")), "union": either(F.col("a"), F.col("b"))})
-    rows = rows.filter((F.col("both") > 0) & (F.col("both") * 1.0 >= least * F.col("union")))
-    best = rows.groupBy("key", "l_id").agg(F.max(F.struct((F.col("both") / F.col("union")).alias("score"), (-F.col("r_id")).alias("neg"), "r_id", "both", "union")).alias("x"))
-    return best.select("key", "l_id", "x.r_id", "x.both", "x.union")
-
-
 def _pair_codes(text: str) -> np.ndarray:
     """Distinct pairs of neighbouring characters as sorted numbers."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -237,7 +223,7 @@ def _pair_headings(table: pa.Table) -> pa.Table:
     free, found = list(range(len(right))), []
     rest = []
     for i, a in enumerate(left):
-        j = next((j for j in free if right[j]["key"] == a["key"]), None)
+        j = next((j for j in free if a["key"] and right[j]["key"] == a["key"]), None)
         if j is None:
             rest.append(i)
         else:
@@ -292,3 +278,106 @@ def opcodes(pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pair_id", "seq", "tag", "i1", "i2", "j1", "j2"])
 
     return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "orig", "rewrite").mapInArrow(stage, "pair_id long, seq int, tag string, i1 int, i2 int, j1 int, j2 int")
+
+
+# ---- endings by stance -----------------------------------------------------------------------------------------
+LIST_MARK = r"^(?:[*\-・]|\d+[.)])\s+"
+
+
+def ending_units(texts: DataFrame, kind=ending_kind, markdown: bool = False, ends: str = "。！？!?", *keep: str) -> DataFrame:
+    """doc_id, seq, where, sentence, kind, whole of the units whose ending counts.
+
+    A list row is a unit of its own, a dash ends one too.  With ``markdown`` code and front matter are left out and the
+    cells of tables are units, marked as such; else table rows are left out.  A unit without an ending kind, and a bare
+    noun before a dash, are none.  ``whole``: it ends in a stop, or at a dash.
+    """
+    rows = texts.select("doc_id", *keep, F.posexplode(F.split("text", "\n")).alias("line", "raw")).withColumn("t", strip("raw"))
+    if markdown:
+        by = Window.partitionBy("doc_id").orderBy("line")
+        whole = Window.partitionBy("doc_id")
+        opened = F.max((F.col("line") == 0) & (F.col("t") == "---")).over(whole)
+        close = F.min(F.when((F.col("line") > 0) & (F.col("raw") == "---"), F.col("line"))).over(whole)
+        rows = rows.withColumn("body", ~(opened & close.isNotNull() & (F.col("line") <= close)))
+        fence = F.col("body") & F.col("t").startswith("```")
+        rows = rows.withColumn("fences", F.sum(fence.cast("int")).over(by)).filter(F.col("body") & ~fence & (F.col("fences") % 2 == 0))
+    table = F.col("t").startswith("|")
+    rows = rows.filter((F.col("t") != "") & ~F.col("t").startswith("#") & (F.col("t") != "---"))
+    rows = rows.filter(~table | ~F.col("t").rlike(r"^[|\-: ]*\z")) if markdown else rows.filter(~table)
+    listed = F.col("t").rlike(LIST_MARK)
+    where = F.when(table, "表").when(listed, "箇条書き").otherwise("地の文")
+    cells = F.transform(F.split(F.regexp_replace("t", r"^\|+|\|+\z", ""), r"\|"), strip)
+    sources = F.when(table, cells).otherwise(F.array(F.regexp_replace("t", LIST_MARK, "")))
+    sentences = F.flatten(F.transform(sources, lambda x: pieces(x, ends)))
+
+    def cut(sentence: Column) -> Column:
+        parts = F.transform(F.split(sentence, "[—―]{1,2}", -1), strip)
+        return F.transform(parts, lambda p, n: F.struct(p.alias("sentence"), (n == F.size(parts) - 1).alias("last"), sentence.rlike(f"[{ends}]\\z").alias("stopped")))
+
+    rows = rows.select("doc_id", *keep, "line", where.alias("where"), F.posexplode(F.flatten(F.transform(sentences, cut))).alias("pos", "x")).select("*", "x.*").withColumn("kind", kind(F.col("sentence")))
+    rows = rows.filter((F.col("sentence") != "") & (F.col("kind") != "") & (F.col("last") | (F.col("kind") != "体言止めなど")))
+    seq = F.struct("line", "pos").alias("seq")
+    return rows.select("doc_id", *keep, seq, "where", "sentence", "kind", (F.col("stopped") | ~F.col("last")).alias("whole"))
+
+
+def register(sentence: Column) -> Column:
+    """Polite or plain ending; empty for a noun and the like."""
+    t = bare_end(sentence)
+    plain = t.rlike(r"(?:だ|である|ではない|でない)\z") | (t.rlike(r"[るうくすつぬぶむぐたい]\z") & ~t.rlike(r"[ァ-ヴー一-龥A-Za-z0-9]\z"))
+    return F.when(t.rlike(r"(?:です|ます|ません|ました|でした|ましょう|ください|でしょう)\z"), "敬体").when(plain, "常体").otherwise("")
+
+
+ACT, ASK, ADVICE, VALUE = "動作（〜します）", ["勧め", "依頼"], "勧め", "評価"
+STANCES = {"勧め": "勧め", "読み手に勧める": "勧め", "決まり": "決まり", "手順": "決まり", "説明": "説明", "報告": "説明", "体験": "説明"}
+
+
+def stance_flags(units: DataFrame, stance: str | None = None, polite=register) -> DataFrame:
+    """doc_id, flag, sentences: endings that don't fit the stance of a text, and the rarer of two registers.
+
+    Flags: act_in_advice, advice_in_rules, advice_in_report (the last unit may hold one), act_and_ask, act_and_value,
+    plain_in_polite, polite_in_plain.
+    """
+    kind, prose = F.col("kind"), F.col("where") != "表"
+    act, ask, value = prose & (kind == ACT), prose & kind.isin(ASK), prose & (kind == VALUE)
+    spoken = F.when(prose & F.col("whole"), polite(F.col("sentence")))
+    rows = units.withColumns({"act": act, "ask": ask, "advice": prose & (kind == ADVICE), "value": value, "spoken": spoken})
+    last = F.col("seq") == F.max("seq").over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("inner_ask", F.col("ask") & ~last)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("seq", "sentence")))), lambda x: x["sentence"])
+    by = {"act": F.col("act"), "ask": F.col("ask"), "advice": F.col("advice"), "value": F.col("value"), "inner": F.col("inner_ask"), "plain": F.col("spoken") == "常体", "formal": F.col("spoken") == "敬体"}
+    got = rows.groupBy("doc_id").agg(*[listed(c).alias(n) for n, c in by.items()])
+    some = lambda c: F.size(c) > 0
+    flag = lambda test, name, said: F.when(test, F.struct(F.lit(name).alias("flag"), said.alias("sentences")))
+    stance = STANCES.get(stance, stance) if stance else None
+    if stance == "勧め":
+        flags = [flag(some("act"), "act_in_advice", F.col("act"))]
+    elif stance == "決まり":
+        flags = [flag(some("advice") | some("value"), "advice_in_rules", F.concat("advice", "value"))]
+    elif stance == "説明":
+        flags = [flag(some("inner"), "advice_in_report", F.col("inner"))]
+    else:
+        flags = [flag(some("act") & some("ask"), "act_and_ask", F.concat("act", "ask")), flag(some("act") & ~some("ask") & some("value"), "act_and_value", F.concat("act", "value"))]
+    flags += [flag(some("plain") & (F.size("formal") > F.size("plain")), "plain_in_polite", F.col("plain")), flag(some("formal") & (F.size("plain") > F.size("formal")), "polite_in_plain", F.col("formal"))]
+    return got.select("doc_id", F.inline(F.filter(F.array(*flags), lambda x: x.isNotNull())))
+
+
+def moved_sentences(sentences: DataFrame) -> DataFrame:
+    """pair_id, sentence, orig_seq, rewrite_seq: equal sentences of both sides, each used once, first with first."""
+    nth = F.row_number().over(Window.partitionBy("pair_id", "side", "sentence").orderBy("seq"))
+    rows = sentences.select("pair_id", "side", "seq", "sentence", nth.alias("nth"))
+    a, b = rows.filter("side = 'orig'"), rows.filter("side = 'rewrite'").withColumnRenamed("seq", "rewrite_seq").drop("side")
+    return a.join(b, ["pair_id", "sentence", "nth"]).select("pair_id", "sentence", F.col("seq").alias("orig_seq"), "rewrite_seq")
+
+
+def kinds_changed(marks: DataFrame) -> DataFrame:
+    """pair_id, lost, added: kinds of marks (pair_id, side, kind) that one side has and the other hasn't, sorted."""
+    got = marks.groupBy("pair_id").agg(*[F.array_sort(F.collect_set(F.when(F.col("side") == s, F.col("kind")))).alias(s) for s in ("orig", "rewrite")])
+    out = got.select("pair_id", F.array_sort(F.array_except("orig", "rewrite")).alias("lost"), F.array_sort(F.array_except("rewrite", "orig")).alias("added"))
+    return out.filter((F.size("lost") > 0) | (F.size("added") > 0))
+
+
+def comma_sentences(sentences: DataFrame, comma: str = "、", least: int = 2, most: int = 5) -> DataFrame:
+    """pair_id, seq, sentence, commas: the first ``most`` rewritten sentences with at least ``least`` commas."""
+    n = F.regexp_count("sentence", F.lit(comma)).cast("long")
+    rows = sentences.filter("side = 'rewrite'").withColumn("commas", n).filter(F.col("commas") >= least)
+    place = F.row_number().over(Window.partitionBy("pair_id").orderBy("seq"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("pair_id", "seq", "sentence", "commas")

@@ -53,9 +53,11 @@ def emoji(lines: DataFrame) -> DataFrame:
 
 def dashes(lines: DataFrame) -> DataFrame:
     """Text with its quotes and link texts blanked that holds a dash between other characters; the first shape counts."""
-    masked = F.regexp_replace("unquoted", r"\*\*|\*|__", "")
-    credit = F.regexp_replace(masked, rf"^\s*[{ja.DASHES}]+\s*((?:出典|引用元|著者|Source|Author)\s*[:：])", "$1")
-    text = strip(credit)
+    bare = lambda c: F.regexp_replace(c, r"\*\*|\*|__", "")
+    credit = F.regexp_replace(strip("plain"), rf"^[{ja.DASHES} \t　]+", "")
+    credited = strip("plain").rlike(rf"^[{ja.DASHES}]") & (credit.rlike(ja.CREDIT_LABEL) | credit.rlike(ja.CREDIT_BOOK) | credit.rlike(ja.CREDIT_ENGLISH))
+    masked = F.regexp_replace(bare("unquoted"), ja.LINK_CREDIT, "]")
+    text = strip(F.when(credited, F.regexp_replace(masked, rf"^\s*[{ja.DASHES}]+", "")).otherwise(masked))
     core = F.regexp_replace(text, rf"[{ja.DASHES} 　\p{{P}}\p{{S}}]", "")
     rows = lines.filter(F.col("is_prose") & F.col("plain").rlike(f"[{ja.DASHES}]")).withColumn("t", text)
     rows = rows.filter(F.col("t").rlike(f"[{ja.DASHES}]") & ~F.col("t").rlike(ja.DIAGRAM) & (core != ""))
@@ -162,7 +164,9 @@ def fragments(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("start", F.coalesce(F.sum(F.length("v")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     whole = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line", "v", "start", "raw"))).alias("x"))
     text = F.array_join(F.transform("x", lambda r: r["v"]), "")
-    hits = F.filter(F.transform(F.regexp_extract_all(text, F.lit(ja.FRAGMENTS), F.lit(0)), lambda h: F.instr(text, h) - 1), lambda p: p >= 0)
+    between, runs = F.split(text, ja.FRAGMENTS, -1), F.regexp_extract_all(text, F.lit(ja.FRAGMENTS), F.lit(0))
+    long = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda a, x: a + F.length(x))
+    hits = F.transform(F.sequence(F.lit(1), F.size(runs)), lambda n: long(between, n) + long(runs, n - 1))  # where each run begins
     at = whole.filter(text.rlike(ja.FRAGMENTS)).select("doc_id", F.explode(F.array_distinct(F.transform(hits, lambda p: F.array_max(F.filter("x", lambda r: r["start"] <= p))))).alias("r"))
     return _found(at.select("doc_id", "r.line", "r.raw").distinct(), "fragment_run", "info")
 
@@ -239,10 +243,56 @@ def narrative(lines: DataFrame, least: int = 1000, first_person: float = 1.0, de
     return _found(got.filter((F.col("n") >= least) & (F.col("p") * 1000 < first_person * F.col("n")) & (F.col("d") * 1000 >= dense * F.col("n"))), "narrative_density", "info")
 
 
+def top_quotes(text: Column) -> Column:
+    """What the outermost quotes of a line hold, by a stack of open marks; a mark that closes another kind counts as text."""
+    marks = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda m: m["c"].isin(*ja.QUOTES, *ja.QUOTES.values()))
+    state = F.struct(F.array().cast("array<struct<c:string,i:int>>").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, m: Column) -> Column:
+        top = F.try_element_at(s["open"], F.lit(-1))
+        left = F.slice(s["open"], 1, F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        closes = reduce(lambda a, q: a | ((top["c"] == q[0]) & (m["c"] == q[1])), ja.QUOTES.items(), F.lit(False))
+        said = F.concat(s["out"], F.array(F.substr(text, top["i"] + 2, m["i"] - top["i"] - 1)))
+        return (
+            F.when(m["c"].isin(*ja.QUOTES), F.struct(F.concat(s["open"], F.array(m)).alias("open"), s["out"].alias("out")))
+            .when(F.coalesce(closes, F.lit(False)), F.struct(left.alias("open"), F.when(F.size(left) == 0, said).otherwise(s["out"]).alias("out"))).otherwise(s)
+        )
+
+    return F.aggregate(marks, state, step)["out"]
+
+
+def ai_phrases(lines: DataFrame, doc_type: str | None = None) -> DataFrame:
+    """Seven turns of phrase, each once per line, in order; some count only where nobody is named who judges or invites."""
+    rows = lines.filter(F.col("kind").isin("paragraph", "list", "heading", "table") & (F.col("quote_depth") == 0))
+    rows = rows.filter(F.col("plain").rlike(r"見立て|潜|招く|欠かせない存在|挙動を|なんよ|を[一-龥々]{2,}[。．]"))
+    parts = F.filter(F.transform(F.regexp_extract_all("plain", F.lit(r"[^。．！？!?|｜]+[。．！？!?]*"), F.lit(0)), strip), lambda x: x != "")
+    before = lambda s, p: F.regexp_extract(s, f"(?s)^(.*?){p}", 1)
+    kind = F.col("kind")
+    vetoes = {
+        "見立てです": lambda s: F.concat(before(s, ja.AI_VIEW), F.regexp_extract(s, rf"((?:という|との|の))見立て(?:です|でした|だ|だった|である)[。．！!]*\z", 1)).rlike(ja.AI_JUDGE),
+        "が招く": lambda s: before(s, ja.AI_INVITED).rlike(ja.AI_INVITER),
+        "なんよ": lambda s: F.lit(doc_type in ("script", "essay")) | ~kind.isin("paragraph", "list"),
+        "て形の体言止め": lambda s: F.lit(doc_type in ("slides", "minutes", "promo", "script")) | (kind != "paragraph") | F.substr(s, F.lit(1), F.length(before(s, ja.AI_CUT)) + 2).rlike(rf"(?:{'|'.join(ja.TE_NOT_VERB)})\z"),
+    }
+
+    def test(name: str, pattern: str):
+        return lambda s: s.rlike(pattern) & ~vetoes.get(name, lambda s: F.lit(False))(s)
+
+    rows = rows.withColumn("parts", parts)
+    words = F.filter(F.array(*[F.when(F.exists("parts", test(n, p)), F.lit(n)) for n, p in ja.AI_FORMS.items()]), lambda x: x.isNotNull())
+    # in the order of their sentences
+    place = lambda w: reduce(lambda a, np: F.when(w == np[0], F.array_position(F.transform("parts", test(*np)), True)).otherwise(a), ja.AI_FORMS.items(), F.lit(0).cast("long"))
+    names = list(ja.AI_FORMS)
+    rank = lambda w: F.array_position(F.array(*[F.lit(n) for n in names]), w)
+    sorted_ = F.transform(F.array_sort(F.transform(words, lambda w: F.struct(place(w).alias("p"), rank(w).alias("r"), w.alias("w")))), lambda x: x["w"])
+    rows = rows.withColumn("found", sorted_).filter(F.size("found") > 0)
+    return _found(rows, "ai_phrase", "info", F.array_join("found", "、"), F.col("found"))
+
+
 def dialogue(lines: DataFrame, least: int = 10, share: float = 0.5) -> DataFrame:
     """Documents with enough lines of speech of which many end in a full stop, at the first of them."""
     rows = lines.filter(F.col("is_body") & ~F.col("kind").isin("heading_underline", "thematic_break")).withColumn("t", F.regexp_replace("visible", r"__|\*", ""))
-    quoted = F.transform(F.regexp_extract_all("t", F.lit(ja.SPEECH), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    quoted = F.when(F.col("t").rlike("[「『]"), top_quotes(F.col("t"))).otherwise(F.array().cast("array<string>"))
     name, said = F.regexp_extract("t", ja.SPEAKER, 1), F.regexp_replace(strip(F.regexp_extract("t", ja.SPEAKER, 2)), ja.STAGE_NOTE, "")
     spoken = F.when(F.size(quoted) > 0, quoted).when((name != "") & ~name.rlike(ja.NOT_SPEAKER), F.array(said)).otherwise(F.array().cast("array<string>"))
     spoken = F.filter(F.transform(spoken, strip), lambda x: x != "")
@@ -278,7 +328,7 @@ def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: l
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
         whole, endings(lines), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
-        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), narrative(lines), dialogue(lines), project_terms(lines, flags or {}),
+        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), ai_phrases(wide), narrative(lines), dialogue(lines), project_terms(lines, flags or {}),
     ]
     found = reduce(DataFrame.unionByName, [p.select(*[F.col(c) for c in COLUMNS]) for p in parts])
     if allowed:

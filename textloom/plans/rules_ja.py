@@ -40,16 +40,16 @@ METAPHOR_VERBS = [
     ("非生物主語「事例が残した」", r"事例が残した"),
 ]
 FILLERS = [
-    ("前置きフィラー「重要なのは」", r"^(まず|ここで)?(重要|大切|大事)なのは、?"),
-    ("前置きフィラー「結論から言うと」", r"^結論から(言|い)(う|い|え)|^結論から申し上げ"),
-    ("前置きフィラー「正直に言うと」", r"^正直に言うと、?"),
-    ("前置きフィラー「本音を言うと」", r"^本音を言うと、?"),
-    ("前置きフィラー「避けたいのは」", r"^避けたいのは、?"),
-    ("前置きフィラー「ポイントは、」", r"^ポイントは、"),
+    ("前置フィラー「重要なのは」", r"^(まず|ここで)?(重要|大切|大事)なのは、?"),
+    ("前置フィラー「結論から言うと」", r"^結論から(言|い)(う|い|え)|^結論から申し上げ"),
+    ("前置フィラー「正直に言うと」", r"^正直に言うと、?"),
+    ("前置フィラー「本音を言うと」", r"^本音を言うと、?"),
+    ("前置フィラー「避けたいのは」", r"^避けたいのは、?"),
+    ("前置フィラー「ポイントは、」", r"^ポイントは、"),
     ("自己ラベル「見落とされがち」など", r"見落とされがち|面白いのはここ|まさにそこがポイント"),
     ("定型クロージング「いかがでしたでしょうか」", r"いかがでした(でしょうか|か)?[？?。]?\z"),
     ("定型クロージング「ぜひ〜してみてください」", r"ぜひ(参考|試し|活用)(に)?して(みて)?ください[！!。]?"),
-    ("定型クロージング「参考になれば幸いです」など", r"参考に(なれ|な)ば幸い|お役に立て(れ)?ば幸い|ぜひご(活用|参考に)ください"),
+    ("定型クロージング「参考になれば幸いです」など", r"参考に(なれ|な)ば幸い|お役に立て(れ)?ば幸い|ぜひご(活用|参考に)ください|まずは小さく(始め|はじめ)(?:ましょう|てみましょう|てください|てみてください|てみませんか|て(?:みて)?はいかが(?:ですか|でしょうか)|る(?:ことが(?:大切|大事|重要)|のがおすすめ)です)[。！？!?]?\z"),
     ("過剰な自己ラベリング「〜に他なりません」", r"に他なりません"),
     ("チャット応答の名残「ご質問ありがとうございます」", r"^ご質問ありがとうございます"),
     ("定型導入「それでは見ていきましょう」など", r"見ていきましょう[。！!]?\z|深掘りしていきます"),
@@ -85,6 +85,10 @@ EMOJI = "[\U0001F600-\U0001F64F\U0001F300-\U0001F5FF\U0001F680-\U0001F6FF\U0001F
 DASHES = "—―─━"
 DIAGRAM = r"[│┃├┣└┗┌┏┐┓┘┛┬┳┴┻┼╋╭╮╰╯]"
 _ITEM = rf"[^、。！？!?\s{DASHES}]{{1,12}}"
+CREDIT_LABEL = r"(?i)^(?:出典|引用元|著者|Source|Author)\s*[:：]"
+CREDIT_BOOK = r"^[一-龥々ァ-ヴーA-Za-z .・'’-]+『[^』]+』(?:[ \t　]*(?:（[^）]*）|\([^)]*\)))*[。.]?\z"
+CREDIT_ENGLISH = r"^[A-Z][A-Za-z.'’−-]*(?:[ \t]+[A-Z][A-Za-z.'’−-]*)+,[ \t]+\S"
+LINK_CREDIT = rf"\][ \t]*[{DASHES}]+"
 DASH_LIST_ENDING = rf"(?:^|(?<=[。！？!?]))\s*{_ITEM}(?:、[ \t　]*{_ITEM}){{2,}}[ \t　]*[{DASHES}]+(?:[。．.]|\z)"
 DASH_INSERTION = rf"[{DASHES}]{{1,2}}[^{DASHES}。\n]{{1,40}}[{DASHES}]{{1,2}}"
 NAKAGURO_SEGMENT = r"(?:[ァ-ヶー]+|[一-龯]+|[ぁ-ん]+|[0-9A-Za-z]+)"
@@ -118,13 +122,45 @@ BARE_VERB_NOT = r"(?:ます|です|ません)か?\z|(?:^[一二三四五六七
 BARE_VERB_PARTICLE = r"を|[はがに](?![ぁ-ゖ])"
 SENTENCE_ENDINGS = ["です", "ます", "でした", "ました", "である", "だ", "だろう"]
 NUMBER = r"(?<![A-Za-z_0-9０-９.,．，])[0-9０-９]+(?:[.,．，][0-9０-９]+)*(?![_0-9０-９])"
-FIRST_PERSON = r"(?<![公無])私(?![立鉄的物有服用語設費学道塾刑権財欲情事信案邸宅募企営益生淑書])|(?<![ぁ-ゖ手受引見])(?:わたくし|わたし(?!て|た(?!ち)|ます|まし|ませ)|ぼく(?![じしさめ]))|僕|俺|自分|筆者"
+FIRST_PERSON = r"(?<![公無])私(?![立鉄的物有服用語設費学道塾刑権財欲情事信案邸宅募企営益生淑書])|(?<![ぁ-ゖ手受引見])(?:わたくし|わたし(?!て|た(?!ち)|ます|まし|ませ)|ぼく(?![じしさめ])|おれ(?!い|る|た(?!ち)|て|ま|ば|ず|ろ|そ))|僕|俺|自分|筆者"
 COPY_COMMA_NOUN = r"(?:^|、)([^、]+?[ないたの])、([一-龯々〆ヵヶぁ-ゖァ-ヴーA-Za-z0-9０-９Ａ-Ｚａ-ｚ]{1,7})。\z"
 COPY_PARTICLE = r"を|[はがで](?![ぁ-ゖ])"
 COPY_NOT_MODIFIER = "はい いいえ いい また まあ あの その この どの あのね ええ いや おい なお ただ しかし ちなみ つまり さて では".split()
 COPY_I_NOUNS = "思い 想い 願い 違い 匂い 出会い 味わい 祝い 誓い 迷い 笑い 住まい 佇まい 問い 扱い 装い 幸い".split()
 COPY_NOT_NOUN = r"(?:[るたすだてでねよわかぞぜさうくぐつぬぶむずじ]|ない|ません|しい|たい)\z|[はがにでの]"
-SPEECH = r"「(?:[^「」]|「[^「」]*」)*」|『(?:[^『』]|『[^『』]*』)*』"
+QUOTES = {"「": "」", "『": "』"}
 SPEAKER = r"^\s*(?:[-*+]\s+|\d+\.\s+)?([^\s：:「」『』（）()、。！？!?，,．.]{1,12})[ \t　]*[：:][ \t　]*(.+)\z"
 NOT_SPEAKER = r"(?i)^(?:SE|ＳＥ|M|Ｍ|BGM|ＢＧＭ|[0-9０-９]+|(?:[0-9０-９]+)?(?:コマ|ページ|P|Ｐ)目?[0-9０-９]*|場所|時間|時|人物|登場人物|柱|ト書き?|注|メモ|備考)\z"
 STAGE_NOTE = r"^[（(][^（）()]*[）)]\s*|\s*[（(][^（）()]*[）)]\z"
+AI_PERSON = (
+    r"(?:人|者|員|士|医|さん|様|さま|氏|先生|医師|専門家|アナリスト|エコノミスト|記者|筆者|編集部|当社|弊社|同社|会社|政府|当局|警察|検察|日銀|銀行|気象台|省|庁|局|都|府|県|市|区|町|村|国|自治体"
+    r"|委員会|協会|機関|大学|研究所|チーム|部|課|業界|社長|会長|部長|課長|店長|院長|監督|代表|教授|首相|大臣|知事|市長|私|僕|わたし|ぼく|我々|われわれ|彼|彼女|あなた|皆さん"
+)
+AI_PLURAL = r"(?:たち|ら|ども|陣|側)?"
+AI_JUDGE = rf"{AI_PERSON}){AI_PLURAL}(?:は|が|も|の|では|によると|によれば|としては)"
+AI_INVITER = rf"{AI_PERSON}|上司|父|母|親|夫|妻|兄|姉|弟|妹|祖父|祖母|息子|娘|子ども|子供|家族|友人|知人|友達|先輩|後輩|同僚|店|当店|学校|団体|館|団|主催者|運営){AI_PLURAL}\z"
+AI_HIDDEN = r"(?:リスク|問題|課題|罠|わな|落とし穴|危険性?|本質|闇|バグ)"
+AI_HIDDEN_BEFORE = r"(?:各種の|様々な|さまざまな|多くの|数々の|大きな|思わぬ|見えない|本当の|深刻な|重大な|新たな)?"
+AI_VIEW = r"(?:という|との|の)見立て(?:です|でした|だ|だった|である)[。．！!]*\z"
+AI_INVITED = r"が招く(?=[一-龥々ァ-ヴー])"
+AI_CUT = r"(?:[ぁ-ん]て|[んい]で|[一-龥々]て)[、，,][^。、，,]{1,20}?を[一-龥々]{2,}[。．]\z"
+AI_FORMS = {
+    "見立てです": AI_VIEW,
+    "潜む": rf"{AI_HIDDEN}(?:が|も|は)[、，,]?潜(?:む|ん[でだ]|み|ま|め)|に潜(?:む|んでいる|んでいた|んだ){AI_HIDDEN_BEFORE}{AI_HIDDEN}(?!な)",
+    "が招く": AI_INVITED,
+    "欠かせない存在": r"今や[^。]*?欠かせない存在|欠かせない存在と(?:なって|なりつつ)",
+    "という挙動を排除": r"という挙動を(?:排除|防止|阻止)",
+    "なんよ": r"なんよね?[。．！!？?]*\z",
+    "て形の体言止め": AI_CUT,
+}
+TE_NOT_VERB = [
+    "について", "によって", "として", "に関して", "に対して", "を通して", "にとって", "につれて", "において",
+    "にあたって", "に当たって", "に際して", "をめぐって", "を巡って", "に沿って", "にわたって", "に先立って",
+    "そして", "さて", "すべて", "全て", "かつて", "やがて", "改めて", "あらためて", "初めて", "はじめて", "決して",
+    "けっして", "大して", "たいして", "極めて", "きわめて", "あえて", "敢えて", "かえって", "却って", "至って",
+    "総じて", "概して", "がいして", "おしなべて", "強いて", "果たして", "はたして", "従って", "したがって",
+    "よって", "次いで", "ついで", "併せて", "あわせて", "合わせて", "続いて", "揃って", "そろって", "あて", "宛て",
+    "めがけて", "目がけて", "を通じて", "に応じて", "に基づいて", "に基いて", "に加えて", "に向けて", "を受けて",
+    "をもって", "に従って", "を含めて", "に限って", "にかけて", "に比べて", "に伴って", "を除いて", "を経て",
+    "にて", "せいで", "くらいで", "ぐらいで",
+]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from textloom import queries_files as more
 from textloom.functions.text import around
 from textloom.operators import findings as fnd
 from textloom.operators import segments as seg
@@ -148,7 +149,7 @@ def _pairs(spark, d):
     """Neighbouring turns of conversations as (orig, rewrite)."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = spark.read.parquet(f"{d}/conversations.parquet").withColumn("rewrite", F.lead("text").over(w)).filter("rewrite is not null")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), F.col("text").alias("orig"), "rewrite")
+    return rows.select((F.col("conv_id") * 1000000 + F.col("turn")).alias("pair_id"), F.col("text").alias("orig"), "rewrite")
 
 
 def turn_diff_words(spark, d):
@@ -195,14 +196,7 @@ def turn_ending_changes(spark, d):
 
 
 def bigram_pairing(spark, d):
-    """For each benchmark item the most similar line start of the documents, among those with its first two letters."""
-    items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.substring(F.col("text"), 1, 2).alias("key"), F.col("item_id").alias("id"), F.substring(F.col("text"), 1, 60).alias("text"))
-    rows = _docs(spark, d).select(F.substring(F.col("text"), 1, 2).alias("key"), F.col("doc_id").alias("id"), F.substring(F.col("text"), 1, 60).alias("text"))
-    return dff.best_pairs(items, rows, 0.2)
-
-
-def bigram_pairing_texts(spark, d):
-    """For each benchmark item the most similar document, both as whole texts and all pairs compared, in an Arrow stage; no SQL."""
+    """For each benchmark item the most similar document, both as whole texts and all pairs compared, in an Arrow stage."""
     items = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("id"), "text")
     return dff.best_texts(items, _docs(spark, d).select(F.col("doc_id").alias("id"), "text"), 0.2)
 
@@ -340,7 +334,7 @@ _MERGED = rf"""{_SPANS}, r AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER
 i AS (SELECT *, sum(CASE WHEN s <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e) AS island FROM r),
 merged AS (SELECT doc_id, min(s)::BIGINT AS s, max(e)::BIGINT AS e FROM i GROUP BY doc_id, island)"""
 _P = r"""p AS (
-  SELECT conv_id * 1000 + turn AS pair_id, text AS orig, nxt AS rewrite FROM (
+  SELECT conv_id * 1000000 + turn AS pair_id, text AS orig, nxt AS rewrite FROM (
     SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL
 )"""
 _NORMAL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\*\*(.+?)\*\*', '\1', 'g'), '(?m)^[ \t]*(?:[*\-・]|[0-9]+[.)])[ \t]+', '', 'g'), '(?m)^#+[ \t]*', '', 'g'), '[ \t]+', ' ', 'g'))"
@@ -359,7 +353,6 @@ def _side_counts(c: str) -> str:
     regexp_matches({c}, '(?m)^[ \t]*(?:[*\-・]|[0-9]+[.)])[ \t]+\S') AS has_list_{c}"""
 
 
-_BIGRAMS = "list_distinct([substr({c}, i, 2) FOR i IN range(1, length({c}))])"
 
 ORACLE_SQL = {
     "line_scan": r"""WITH x AS (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS l, regexp_extract_all(text, '\r\n|\r|\n') AS t FROM documents),
@@ -409,11 +402,12 @@ SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY n DESC, first_s
 UNION ALL SELECT pair_id, side, seq, 'announcing' FROM ss WHERE regexp_matches(sentence, ' (the|this) [a-z]+[.]$')""",
     "turn_line_multisets": f"""WITH {_P}, x AS (SELECT pair_id, unnest(string_split(orig, chr(10))) AS raw, 1 AS d FROM p UNION ALL SELECT pair_id, unnest(string_split(rewrite, chr(10))), -1 FROM p),
 y AS (SELECT pair_id, raw, sum(d)::BIGINT AS d FROM x GROUP BY ALL HAVING sum(d) <> 0) SELECT pair_id, CASE WHEN d > 0 THEN 'orig' ELSE 'rewrite' END AS side, raw, abs(d) AS extra FROM y""",
-    "bigram_pairing": f"""WITH l AS (SELECT substr(text, 1, 2) AS key, item_id AS l_id, {_BIGRAMS.format(c="substr(text, 1, 60)")} AS a FROM benchmark),
-r AS (SELECT substr(text, 1, 2) AS key, doc_id AS r_id, {_BIGRAMS.format(c="substr(text, 1, 60)")} AS b FROM documents),
-x AS (SELECT key, l_id, r_id, len(list_intersect(a, b)) AS bo, len(list_distinct(list_concat(a, b))) AS u FROM l JOIN r USING (key)),
-y AS (SELECT *, row_number() OVER (PARTITION BY key, l_id ORDER BY bo::DOUBLE / u DESC, r_id) AS n FROM x WHERE bo > 0 AND bo >= 0.2 * u)
-SELECT key, l_id, r_id, bo AS "both", u AS "union" FROM y WHERE n = 1""",
+    "bigram_pairing": """WITH l AS (SELECT DISTINCT item_id AS l_id, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM benchmark),
+r AS (SELECT DISTINCT doc_id AS r_id, unnest(list_transform(range(1, length(text)), lambda i: substr(text, i, 2))) AS g FROM documents),
+nl AS (SELECT l_id, count(*) AS n FROM l GROUP BY l_id), nr AS (SELECT r_id, count(*) AS n FROM r GROUP BY r_id),
+x AS (SELECT l_id, r_id, count(*) AS bo FROM l JOIN r USING (g) GROUP BY l_id, r_id), y AS (SELECT l_id, r_id, bo, nl.n + nr.n - bo AS u FROM x JOIN nl USING (l_id) JOIN nr USING (r_id)),
+z AS (SELECT *, row_number() OVER (PARTITION BY l_id ORDER BY bo::DOUBLE / u DESC, r_id) AS n FROM y WHERE bo >= 0.2 * u)
+SELECT l_id, r_id, bo AS "both", u AS "union" FROM z WHERE n = 1""",
     "label_sync": "SELECT DISTINCT doc_id AS name, 'unlisted' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT DISTINCT doc_id, 'orphan' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)",
     "props_contract": """SELECT event_id, list_filter([CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN NULL WHEN json_type(props, '$.k') IS NULL THEN 'k: missing' ELSE 'k: not a number' END,
   CASE WHEN json_type(props, '$.missing') IS NULL THEN 'missing: missing' END, CASE WHEN json_type(props, '$.v') NOT IN ('ARRAY') THEN 'v: not a array' END], lambda x: x IS NOT NULL) AS problems FROM events""",
@@ -438,5 +432,7 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 QUERIES = {f.__name__: f for f in (
     penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
     hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_near_tags, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
-    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, bigram_pairing_texts, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
+    turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
+QUERIES |= more.QUERIES
+ORACLE_SQL |= more.oracle(_SIDES)
