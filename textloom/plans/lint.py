@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import squeeze, strip
 from textloom.operators import findings as fnd
+from textloom.operators.bold import bold_marks
 from textloom.operators.markdown import lines_of, parse_documents
 from textloom.operators.segments import ending_runs, pieces
 
@@ -65,6 +66,13 @@ def dashes(lines: DataFrame) -> DataFrame:
     return _found(rows, rule, "warn")
 
 
+def bold(docs: DataFrame) -> DataFrame:
+    """Bold marks that may be shown as they stand, with what to do and the repair."""
+    rows = bold_marks(docs)
+    shown = F.when(F.col("suggest") == "", F.col("found")).otherwise(F.concat("found", F.lit(" → "), "suggest"))
+    return rows.select("doc_id", F.lit("bold_not_rendered").alias("rule"), "line", F.lit("error").alias("severity"), F.col("how").alias("label"), F.array().cast("array<string>").alias("words"), shown.alias("snippet"))
+
+
 def middle_dots(lines: DataFrame) -> DataFrame:
     """Words in a row joined by middle dots, unless all of them look like parts of a name."""
     text = F.regexp_replace(F.regexp_replace("scan", "「[^」]*」", "　"), r"\*\*|\*|__", "")
@@ -327,7 +335,7 @@ def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: l
     negative = negations(wide)
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
-        whole, endings(lines), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
+        whole, endings(lines), bold(docs), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
         negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), ai_phrases(wide), narrative(lines), dialogue(lines), project_terms(lines, flags or {}),
     ]
     found = reduce(DataFrame.unionByName, [p.select(*[F.col(c) for c in COLUMNS]) for p in parts])

@@ -219,6 +219,36 @@ def jp_forms_golden(spark, d):
     return found.filter(F.col("rule").isin(*{r for _, _, r in RULES_JP if r})).select("doc_id", "rule").distinct()
 
 
+def bold_findings(spark, d):
+    """Bold marks of the documents that may be shown as they stand; rows only, since pairing marks is sequential."""
+    from textloom.operators.bold import bold_marks
+
+    return bold_marks(_table(spark, d, "documents"))
+
+
+def turn_bold_changes(spark, d):
+    """Bold problems that the next turn adds, with the marks of turns put around each first word; rows only."""
+    from textloom.operators.bold import bold_changes
+
+    mark = lambda c, a, b: F.regexp_replace(c, r"(\w+)", f"{a}$1{b}").alias(c)
+    return bold_changes(_pairs(spark, d).select("pair_id", mark("orig", "**", "**"), mark("rewrite", "**(", ")**")))
+
+
+#: text, and what is to be done about its bold marks (none: they are fine)
+BOLD_JP = [
+    (1, "これが**『題』**の話です。", "かっこの内側だけを太字にする"), (2, "**題**の話です。", None), (3, "話は**必ず読む。**次へ進みます。", "句読点を太字の外に出す"), (4, "道は**「右」と「左」**に分かれます。", "文字に接する側に半角スペースを入れる"),
+    (5, "次は**大事 **です", "太字の内側の空白を取る"), (6, "`**「語」**を`", None), (7, "**前の段落\n\n後の段落**", None), (8, "```\n語**「語」**語\n```", None), (9, "\\*\\*語\\*\\*", None), (10, "- **一つ目\n- 二つ目**", None),
+    (11, "一行目\n二行目は**「ここから\nここまで」**と続く。", "かっこの内側だけを太字にする"),
+]
+
+
+def jp_bold_golden(spark, d):
+    """Golden: what is to be done about the bold marks of short texts."""
+    from textloom.operators.bold import bold_marks
+
+    return bold_marks(spark.createDataFrame([r[:2] for r in BOLD_JP], "doc_id long, text string")).select("doc_id", "how")
+
+
 ENDINGS_JP = [
     (1, None, "設定を確認します。\n次に保存してください。"), (2, "勧め", "私が確認します。"), (3, "決まり", "早めに始めましょう。\nこれが重要です。"),
     (4, "説明", "読みましょう。\n結果は良かったです。"), (5, "説明", "結果は良かったです。\n読みましょう。"), (6, None, "雨です。\n風です。\n波が立つ。"), (7, None, "雨が降る。\n風が吹く。\n波です。"),
@@ -297,6 +327,7 @@ s AS (SELECT doc_id, listed, unnest(list_filter(list_transform(regexp_extract_al
 p AS (SELECT doc_id, listed, regexp_matches(s, '[.!?]$') AS stopped, string_split_regex(s, '[—―]{{1,2}}') AS parts FROM s), u AS (SELECT doc_id, listed, stopped, len(parts) AS m, generate_subscripts(parts, 1) AS i, unnest(parts) AS x FROM p),
 k AS (SELECT doc_id, listed, stopped OR i < m AS whole, trim(x, ' ' || chr(9)) AS x, regexp_extract(trim(x, ' ' || chr(9)), '([a-z]?)[.!?]?$', 1) AS kind FROM u)
 SELECT doc_id, CASE WHEN listed THEN '箇条書き' ELSE '地の文' END AS "where", kind, count(*) AS n, count(*) FILTER (WHERE whole) AS n_whole FROM k WHERE x <> '' AND kind <> '' GROUP BY ALL""",
+        "jp_bold_golden": f"SELECT * FROM (VALUES {', '.join(f"({i}, '{h}')" for i, _, h in BOLD_JP if h)}) t(doc_id, how)",
         "jp_forms_golden": f"SELECT * FROM (VALUES {', '.join(f"({i}, '{r}')" for i, _, r in RULES_JP if r)}) t(doc_id, rule)",
         "jp_stance_golden": "SELECT * FROM (VALUES (1, 'act_and_ask', 2), (2, 'act_in_advice', 1), (3, 'advice_in_rules', 2), (4, 'advice_in_report', 1), (6, 'plain_in_polite', 1), (7, 'polite_in_plain', 1)) t(doc_id, flag, n)",
     }
@@ -304,5 +335,5 @@ SELECT doc_id, CASE WHEN listed THEN '箇条書き' ELSE '地の文' END AS "whe
 
 QUERIES = {f.__name__: f for f in (
     decoded_pages, front_matter_rows, index_rows, batch_paths, line_lookup, rule_files, skill_files, plan_status, structural_changes, id_sync, name_problems, inserted_rows, json_fields, digests,
-    overlapping_matches, technical_documents, ordered_findings, phrase_labels, finding_json, finding_reports, severity_counts, turn_moved_sentences, turn_kinds_changed, turn_comma_sentences, ending_units, jp_stance_golden, jp_forms_golden,
+    overlapping_matches, technical_documents, ordered_findings, phrase_labels, finding_json, finding_reports, severity_counts, turn_moved_sentences, turn_kinds_changed, turn_comma_sentences, ending_units, jp_stance_golden, jp_forms_golden, jp_bold_golden, bold_findings, turn_bold_changes,
 )}
