@@ -435,6 +435,10 @@ def _classes(docs: DataFrame, k: int, entries: int, hot: int, split: int) -> tup
     used = settle(used, f"{home}/used")
     held = whole.join(used.drop("sketch"), (F.col("node") == F.col("h_node")) & (F.col("scheme") == F.col("h_scheme"))).filter(~(F.col("light") & (F.col("size") > hot)))
     held = settle(held.select("gid", "scheme", "node", "comp"), f"{home}/held")
+    # what is written is all that later steps read: the rest, shuffle files included, makes room
+    del whole, count, chains, groups, packed
+    remove(f"{home}/groups")
+    tidy(docs.sparkSession)
     mixed = held.groupBy("gid", "scheme").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
     mixed = mixed.select("gid", "scheme", F.ceil(F.col("rows") / split).cast("int").alias("parts"))
     rows = settle(salted_join(held, mixed, ["gid", "scheme"], F.xxhash64("node")), f"{home}/mixed")
@@ -449,6 +453,10 @@ def _classes(docs: DataFrame, k: int, entries: int, hot: int, split: int) -> tup
     rows = rows.select(cell.alias("cell"), "gid", "scheme", "node", "comp", "n", "sketch", "early", "part", "pq.p", "pq.q")
     more = rows.groupBy("cell").applyInArrow(_across(), "a binary, b binary").distinct()
     last = verify(more, docs, classes, k, f"{home}/across")
+    del rows, more, early, mixed, held, used, first
+    for name in ("held", "mixed", "used", "first", "first-components"):
+        remove(f"{home}/{name}")
+    tidy(docs.sparkSession)
     found = settle(components(near.unionByName(last), f"{home}/last"), f"{home}/last-components")
 
     # a component is named by its smallest doc_id; its first row is the one that stays where one row is to stay
@@ -464,7 +472,7 @@ def rows_of(uri: str, spark) -> int:
     return spark.read.parquet(uri).count()
 
 
-def near_documents(docs: DataFrame, k: int = 5, entries: int = 300_000, hot: int = 64, split: int = 4096) -> DataFrame:
+def near_documents(docs: DataFrame, k: int = 5, entries: int = 500_000, hot: int = 64, split: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     facts, classes = _classes(docs, k, entries, hot, split)
     out = salted_join(facts.select("doc_id", "n", "sig"), classes.select("sig", F.col("lead.doc_id").alias("lead_id")), ["sig"], F.xxhash64("doc_id"), "left")
@@ -480,7 +488,7 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without doc_id and rows without words stay.  Rows with equal doc_id in different components stay, one of each.
     """
-    facts, classes = _classes(docs, 5, 300_000, 64, 4096)
+    facts, classes = _classes(docs, 5, 500_000, 64, 4096)
     keep = classes.filter("first = lead and not first.bare").select(F.col("first.doc_id").alias("k_id"), F.col("first.thash").alias("k_hash"), F.lit(False).alias("k_all"))
     keep = keep.unionByName(facts.filter("sig is null and doc_id is not null").select(F.col("doc_id").alias("k_id"), F.col("thash").alias("k_hash"), F.lit(True).alias("k_all")).distinct())
     rows = carried(docs, "doc_id", "text").withColumn("_thash", F.xxhash64("text"))
