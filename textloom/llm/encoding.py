@@ -31,7 +31,7 @@ _CUT = f"([{_LETTERS}])([{_MARKS}]+\n?|\n)"
 _EASY = re.compile(f"[{_LETTERS}]+|[{_MARKS}]+")
 _LINE_END = re.compile(f"([{_MARKS}]*)\n")
 #: Entries of a worker's piece cache; later ones are encoded anew in each batch.
-_CACHE = 600_000
+_CACHE = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -133,7 +133,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 12 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20):
     """The batch in pieces of about ``most`` bytes of text; a longer text is a piece of its own."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     low = 0
