@@ -60,7 +60,7 @@ def test_heading_pairs(spark):
 
 def test_bigram_pairing_of_whole_texts(spark):
     """All pairs against brute force; an item inside a document with another beginning is found."""
-    assert "bigram_pairing_texts" in core.QUERIES
+    assert "bigram_pairing" in core.QUERIES
     pairs = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
@@ -70,7 +70,7 @@ def test_bigram_pairing_of_whole_texts(spark):
         scores = [(len(a & b) / len(a | b), -d, d, len(a & b), len(a | b)) for d, b in sets.items() if a & b and len(a & b) >= 0.2 * len(a | b)]
         if scores:
             want[i] = max(scores)[2:]
-    got = {r.l_id: (r.r_id, r.both, r.union) for r in core.bigram_pairing_texts(spark, DIR).collect()}
+    got = {r.l_id: (r.r_id, r.both, r.union) for r in core.bigram_pairing(spark, DIR).collect()}
     assert got == want and len(got) > len({r.l_id for r in core.bigram_pairing(spark, DIR).collect()})
     left = spark.createDataFrame([(1, "the quick brown fox 🎉é"), (2, "zz"), (3, None)], "id long, text string")
     right = spark.createDataFrame([(9, "Oh, the quick brown fox 🎉é"), (7, "Oh, the quick brown fox 🎉é"), (None, "Oh, the quick brown fox 🎉é"), (4, "the"), (5, ""), (6, None)], "id long, text string")
