@@ -24,10 +24,10 @@ def components(links: DataFrame, home: str) -> DataFrame:
         mark, turn = seen, turn + 1
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = salted_join(both.filter("v > u"), least, ["u"], F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = salted_join(both.filter("v > u"), least.hint("merge"), ["u"], F.xxhash64("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = settle(large, f"{home}/large-{turn}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = salted_join(large, least, ["u"], F.xxhash64("v")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        small = salted_join(large, least.hint("merge"), ["u"], F.xxhash64("v")).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         small = small.select("x.u", "x.v").filter("u <> v").distinct()
         now = settle(small, f"{home}/links-{turn}")
         remove(f"{home}/links-{turn - 1}")

@@ -441,7 +441,8 @@ def _classes(docs: DataFrame, k: int, entries: int, hot: int, split: int) -> tup
     tidy(docs.sparkSession)
     mixed = held.groupBy("gid", "scheme").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("rows")).filter("low < high")
     mixed = mixed.select("gid", "scheme", F.ceil(F.col("rows") / split).cast("int").alias("parts"))
-    rows = settle(salted_join(held, mixed, ["gid", "scheme"], F.xxhash64("node")), f"{home}/mixed")
+    # by sorting: the repeated right side is many times what the optimizer takes it for
+    rows = settle(salted_join(held, mixed.hint("merge"), ["gid", "scheme"], F.xxhash64("node")), f"{home}/mixed")
     early = rows.groupBy(F.col("node").alias("e_node")).agg(F.slice(F.array_sort(F.collect_set("gid")), 1, FIRST).alias("early"))
     rows = rows.join(early, F.col("node") == F.col("e_node"))
     rows = rows.join(used.select("h_node", "h_scheme", "n", "sketch"), (F.col("node") == F.col("h_node")) & (F.col("scheme") == F.col("h_scheme")))
@@ -463,7 +464,7 @@ def _classes(docs: DataFrame, k: int, entries: int, hot: int, split: int) -> tup
     found = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
     linked = found.join(classes.select("sig", "first"), F.col("node") == F.col("sig")).select("node", "component", "first")
     names = linked.groupBy("component").agg(F.min("first").alias("lead"))
-    linked = salted_join(linked.select("node", "component"), names, ["component"], F.xxhash64("node")).select("node", "lead")
+    linked = salted_join(linked.select("node", "component"), names.hint("merge"), ["component"], F.xxhash64("node")).select("node", "lead")
     classes = classes.join(linked, F.col("sig") == F.col("node"), "left").select("sig", "first", F.coalesce("lead", "first").alias("lead"))
     return facts, settle(classes, f"{home}/named")
 
@@ -475,7 +476,7 @@ def rows_of(uri: str, spark) -> int:
 def near_documents(docs: DataFrame, k: int = 5, entries: int = 500_000, hot: int = 64, split: int = 4096) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     facts, classes = _classes(docs, k, entries, hot, split)
-    out = salted_join(facts.select("doc_id", "n", "sig"), classes.select("sig", F.col("lead.doc_id").alias("lead_id")), ["sig"], F.xxhash64("doc_id"), "left")
+    out = salted_join(facts.select("doc_id", "n", "sig"), classes.select("sig", F.col("lead.doc_id").alias("lead_id")).hint("merge"), ["sig"], F.xxhash64("doc_id"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("lead_id")).alias("component_id"))
 
 
