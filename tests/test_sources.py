@@ -122,3 +122,15 @@ def test_index_rows_and_ids(spark):
     side = lambda t: spark.createDataFrame([(t,)], "text string")
     assert {(r.name, r.problem) for r in conform.id_sync(side("R-1 R-2"), side("x R-2 R-3"), r"R-[0-9]+").collect()} == {("R-1", "unlisted"), ("R-3", "orphan")}
     assert [r.id for r in conform.unresolved(spark.createDataFrame([('[{"id":"a","isResolved":true},{"id":"b"}]',)], "raw string"), "raw").collect()] == ["b"]
+
+
+def test_built_in_list(spark, tmp_path):
+    """A file replaces the list; a missing one leaves it, and so does one that is no UTF-8, with a problem."""
+    from textloom.operators.report import built_in_list
+
+    (tmp_path / "good.txt").write_text("# words\none\ntwo\tother\n")
+    (tmp_path / "bad.txt").write_bytes(b"\xff\xfe\xff")
+    rows = lambda path: sorted((r.word or "", r.problem is not None) for r in built_in_list(spark, ["own"], path).collect())
+    assert rows(None) == rows(str(tmp_path / "none.txt")) == [("own", False)]
+    assert rows(str(tmp_path / "good.txt")) == [("one", False), ("two", False)]
+    assert rows(str(tmp_path / "bad.txt")) == [("", True), ("own", False)]
