@@ -48,7 +48,7 @@ def repeat_words(words: Column) -> Column:
         return F.sort_array(F.transform(F.filter(s, same), lambda x: x["i"]))
 
     def of(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), let(let(placed, marked), covered)).otherwise(0)
 
     windows = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
