@@ -56,8 +56,9 @@ def repeat_words(words: Column) -> Column:
 
 
 def norm_line(line: Column) -> Column:
-    """Lines that differ in case or blanks only are one line."""
-    return F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
+    """Lines that differ in case or blanks only are one line.  Only lines with other blanks than single spaces are rewritten."""
+    low = F.lower(line)
+    return F.trim(F.when(low.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(low, BLANKS, " ")).otherwise(low))
 
 
 def with_base(docs: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def host_lines(docs: DataFrame) -> DataFrame:
     """host, thash, line (hash), n_times, n_words of each distinct non-blank normalised line of each distinct text of a host."""
     rows = docs.select(F.col("source").alias("host"), F.xxhash64("text").alias("thash"), F.explode(F.split("text", "\n")).alias("line"))
     rows = rows.select("host", "thash", norm_line(F.col("line")).alias("line")).filter("line <> ''")
-    rows = rows.select("host", "thash", F.xxhash64("line").alias("line"), (F.regexp_count("line", F.lit(" ")) + 1).cast("long").alias("n_words"))
+    rows = rows.select("host", "thash", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"))
     return rows.groupBy("host", "thash", "line").agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_words").alias("n_words"))
 
 
