@@ -2,6 +2,8 @@
 
 import pytest
 
+from textloom.operators import findings as fnd
+from textloom.plans import rules_ja as ja
 from textloom.plans.lint import envelope, lint
 
 LONG = "これは十分な長さの段落です。" * 30
@@ -74,6 +76,26 @@ CASES = [
     ("dialogue-few", "\n\n".join(f"「{c}だと思う。」" for c in "一二三四五六七八九"), "dialogue_period", False),
     ("dialogue-names", "\n\n".join(f"ハル：{c}だと思う。（笑う）" for c in "一二三四五六七八九十"), "dialogue_period", True),
     ("dialogue-stop", "\n\n".join(f"「{c}だと思う」" for c in "一二三四五六七八九十"), "dialogue_period", False),
+    ("residue-style", "この記事では、専門用語を使わず説明します。", "instruction_residue", True),
+    ("residue-scope", "本記事では設定を扱いません。", "instruction_residue", True),
+    ("residue-limit", "要点に絞って紹介します。", "instruction_residue", True),
+    ("residue-same", "本記事では設定を扱いません（付録を参照）。", "instruction_residue", False),
+    ("residue-next", "本記事では設定を扱いません。\n付録を参照してください。", "instruction_residue", False),
+    ("residue-far", "本記事では設定を扱いません。\n\n付録を参照してください。", "instruction_residue", True),
+    ("residue-reader", "この手順書では設定に触れず説明します。", "instruction_residue", False),
+    ("residue-plain", "箱に絞って書く。", "instruction_residue", True),
+    ("residue-novel", "彼は静かなトーンで書く。", "instruction_residue", False),
+    ("cleft+", "今回の改修で増えたのは、画面、帳票、通知。", "cleft_list_ending", True),
+    ("cleft-predicate", "今回の改修で増えたのは、画面、帳票、通知です。", "cleft_list_ending", False),
+    ("cleft-two", "目指したのは、速さ、軽さ。", "cleft_list_ending", False),
+    ("cleft-joined", "増えたのは、画面と帳票、通知。", "cleft_list_ending", True),
+    ("cleft-phrase", "残ったのは、父と母の笑顔。", "cleft_list_ending", False),
+    ("cleft-named", "画面が増えた。\n今回増えたのは、画面、帳票、通知。", "cleft_list_ending", False),
+    ("cleft-above", "## 何が増えたか\n\n増えたのは、画面、帳票、通知。", "cleft_list_ending", False),
+    ("cleft-broken", "画面が増\nえた。今回増えたのは、画面、帳票、通知。", "cleft_list_ending", False),
+    ("cleft-table", "| 増 |\n|---|\n| 増 |\n\n増えたのは、画面、帳票、通知。", "cleft_list_ending", True),
+    ("cleft-asked", "変わった点は？\n増えたのは、画面、帳票、通知。", "cleft_list_ending", False),
+    ("cleft-other", "速い。\n増えたのは、画面、帳票、通知。", "cleft_list_ending", True),
     ("code", "```\n重要なのは、等身大——。\n```", "slop_vocabulary", False),
 ]
 
@@ -118,6 +140,20 @@ def test_allow_and_project_terms(spark):
     assert (2, "project_term", "サーバー") in got and not [g for g in got if g[0] == 3]
 
 
+def test_allow_by_rule(spark):
+    """A rule of single words loses them; another goes with its label or with all of its matches, else stays whole."""
+    rows = [
+        (1, "renyo_noun", "", ["確かめ", "入れ"]), (2, "renyo_noun", "", ["確かめ"]), (3, "metaphor_verb", "「壊れる」（物の動詞）", ["壊れる", "壊れた"]),
+        (4, "metaphor_verb", "〜が走る", ["処理が走る", "検査が走る"]), (5, "metaphor_verb", "〜が走る", ["処理が走る"]), (6, "emoji_prohibited", "確かめ", ["確かめ"]),
+        (7, "slop_vocabulary", "触媒", ["触媒"]), (8, "renyo_noun", "", []),
+    ]
+    found = spark.createDataFrame(rows, "doc_id long, rule string, label string, words array<string>")
+    kept = fnd.allow_by_rule(found, ["確かめ", "壊れる", "処理が走る"], ja.ALLOW_RULES, ja.ALLOW_PARTIAL)
+    assert {r.doc_id: r.words for r in kept.collect()} == {1: ["入れ"], 4: ["処理が走る", "検査が走る"], 6: ["確かめ"], 7: ["触媒"], 8: []}
+    assert fnd.allow_by_rule(found, [], ja.ALLOW_RULES, ja.ALLOW_PARTIAL).count() == 8
+    assert fnd.allow_by_rule(found.limit(0), ["x"], ja.ALLOW_RULES, ja.ALLOW_PARTIAL).count() == 0
+
+
 def test_lines_without_wide_characters(spark):
     """Dashes below U+2300, an ASCII line that breaks a run of endings, ASCII lines of speech."""
     names = "\n\n".join(f"「{c}だと思う。」" for c in "一二三四五六七八九")

@@ -65,6 +65,23 @@ def allow(findings: DataFrame, allowed: list[str]) -> DataFrame:
     return findings.withColumn("words", left).filter(F.size("words") > 0)
 
 
+def allow_by_rule(findings: DataFrame, allowed: list[str], rules: list[str], partial: list[str]) -> DataFrame:
+    """Findings of ``rules`` that the allowed words don't cover; findings of other rules stay as they are.
+
+    A rule in ``partial`` loses its allowed words and goes when none is left.  Any other goes as a whole: when its label
+    (the quoted part, without waves and a note in brackets) is allowed, or every one of its other words is.
+    """
+    ok = F.array(*[F.lit(w) for w in allowed]).cast("array<string>")
+    quoted = F.regexp_extract("label", "「([^」]+)」", 1)
+    shown = F.when(quoted != "", quoted).otherwise(F.col("label"))
+    name = F.regexp_replace(F.regexp_replace(shown, r"[ 　]*[（(][^）)]*[）)]\z", ""), r"^[〜~ 　]+|[〜~ 　]+\z", "")
+    rest = F.array_except("words", F.array("label", shown, name))
+    left = F.array_except("words", ok)
+    covered = F.array_contains(ok, shown) | F.array_contains(ok, name) | ((F.size(rest) > 0) & (F.size(F.array_except(rest, ok)) == 0))
+    goes = F.when(~F.col("rule").isin(rules), False).when(F.col("rule").isin(partial), (F.size("words") > 0) & (F.size(left) == 0)).otherwise(covered)
+    return findings.filter(~goes).withColumn("words", F.when(F.col("rule").isin(rules) & F.col("rule").isin(partial), left).otherwise(F.col("words")))
+
+
 def removed_by_allow(findings: DataFrame, allowed: list[str], rules: list[str]) -> DataFrame:
     """rule, removed of every rule in ``rules``: findings that ``allow`` drops, 0 where there are none."""
     left = F.array_except("words", F.array(*[F.lit(w) for w in allowed]).cast("array<string>"))

@@ -68,3 +68,23 @@ def line_at(positions: DataFrame, lines: DataFrame) -> DataFrame:
     ranges = lines.select(F.col("doc_id").alias("l_doc"), "line", "start", F.lead("start").over(w).alias("next"))
     inside = (F.col("pos") >= F.col("start")) & (F.col("next").isNull() | (F.col("pos") < F.col("next")))
     return positions.join(ranges, (F.col("doc_id") == F.col("l_doc")) & inside).drop("l_doc", "start", "next")
+
+
+def sentences_in_context(lines: DataFrame, text: str, ends: str = "。！？!?", kinds: tuple[str, ...] = ("paragraph", "list"), before: tuple[str, ...] = ("paragraph", "list", "heading")) -> DataFrame:
+    """doc_id, block, line, raw, pos, sentence of the ``kinds``, with the sentences around each.
+
+    following: the next piece of the same block, else empty.  previous: the whole sentence before it, put together over
+    line breaks; the first sentence of a block has the last one of the block above, if that is one of ``before``.
+    ``lines`` holds whole documents (doc_id, block, line, kind, raw and the ``text`` column) without blank lines.
+    """
+    rows = lines.select("doc_id", "block", "kind", "line", "raw", F.posexplode_outer(pieces(F.col(text), ends)).alias("pos", "sentence"))
+    rows = rows.withColumns({"pos": F.coalesce("pos", F.lit(0)), "sentence": F.coalesce("sentence", F.lit(""))})
+    block = Window.partitionBy("doc_id", "block").orderBy("line", "pos")
+    done = F.coalesce(F.lag(F.col("sentence").rlike(f"[{ends}]\\z")).over(block), F.lit(False)).cast("int")
+    rows = rows.withColumn("done", done).withColumns({"nth": F.sum("done").over(block), "following": F.coalesce(F.lead("sentence").over(block), F.lit(""))})
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "sentence"))), lambda x: x["sentence"])
+    whole = rows.groupBy("doc_id", "block", "nth").agg(F.first("kind").alias("kind"), F.array_join(in_order, "").alias("whole"))
+    above = Window.partitionBy("doc_id").orderBy("block", "nth")
+    whole = whole.withColumn("previous", F.when(F.lag("kind").over(above).isin(*before), F.lag("whole").over(above)).otherwise(""))
+    out = rows.filter(F.col("kind").isin(*kinds) & (F.col("sentence") != "")).join(whole.select("doc_id", "block", "nth", "previous"), ["doc_id", "block", "nth"])
+    return out.select("doc_id", "block", "line", "raw", "pos", "sentence", "following", "previous")

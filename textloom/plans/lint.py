@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from textloom.functions.text import squeeze, strip
 from textloom.operators import findings as fnd
 from textloom.operators.bold import bold_marks
-from textloom.operators.markdown import lines_of, parse_documents
-from textloom.operators.segments import ending_runs, pieces
+from textloom.operators.markdown import parse_documents
+from textloom.operators.segments import ending_runs, pieces, sentences_in_context
 
 from . import rules_ja as ja
 
 ENDS = "。！？!?"
 NOT_TEXT = ["code", "frontmatter", "html_block", "reference_definition"]
+WIDE = "[\u2300-\U0010FFFF]"
 COLUMNS = ["doc_id", "rule", "line", "severity", "label", "words", "snippet"]
 
 
@@ -140,6 +141,41 @@ def negations(lines: DataFrame) -> DataFrame:
     return _found(lines.filter(F.col("is_body") & (but | this)), "negative_parallelism", "info")
 
 
+def _in_context(lines: DataFrame, trigger: str) -> DataFrame:
+    """Sentences with their neighbours, of documents in which a line has the ``trigger``."""
+    some = lines.filter(F.col("raw").rlike(trigger)).select("doc_id").distinct()
+    rows = lines.filter("kind != 'blank'").join(some, "doc_id", "left_semi")
+    return sentences_in_context(rows.withColumn("text", F.when(F.col("quote_depth") == 0, strip(F.regexp_replace("unquoted", r"__|\*", ""))).otherwise("")), "text", ENDS)
+
+
+def residues(lines: DataFrame) -> DataFrame:
+    """Sentences that tell how the text will be written or what it leaves out, unless they send the reader elsewhere."""
+    s, after = F.col("sentence"), F.col("following")
+    said = F.regexp_extract(s, ja.WRITING_ACTION, 0)
+    style = (said != "") & (F.contains(said, F.lit("ます")) | s.rlike(ja.RESIDUE_OPENER)) & s.rlike(ja.WRITING_STYLE)
+    scope = s.rlike(ja.SCOPE_EXCLUSION) | ((said != "") & s.rlike(ja.WRITING_LIMIT))
+    useful = s.rlike(ja.READER_SCOPE) | s.rlike(ja.SCOPE_REFERENCE) | after.rlike(ja.SCOPE_REFERENCE)
+    rows = _in_context(lines, f"{ja.WRITING_STYLE}|{ja.WRITING_LIMIT}|扱|触れ|省|割愛").filter(style | (scope & ~useful))
+    return _found(rows.select("doc_id", "line", "raw").distinct(), "instruction_residue", "info")
+
+
+def cleft_lists(lines: DataFrame) -> DataFrame:
+    """'What ... is, A, B, C.' without a predicate, where the sentence before neither asks nor names the verb."""
+    s = F.col("sentence")
+    t = F.regexp_replace(F.regexp_replace(s, r"[\s　]{2,}", "Ｘ"), r"[\s　]", "")
+    items = F.regexp_extract(t, ja.CLEFT_MIXED, 2)
+    joiners, tail = F.regexp_count(items, F.lit(ja.CLEFT_JOINER)), F.regexp_extract(items, rf"(?:{ja.CLEFT_JOINER})(.*)\z", 1)
+    phrase = (joiners == 1) & ~items.rlike("[、，・]") & F.contains(tail, F.lit("の"))
+    mixed = t.rlike(ja.CLEFT_MIXED) & (joiners > 0) & ~phrase
+    head = F.when(t.rlike(ja.CLEFT_COMMAS), F.regexp_extract(t, ja.CLEFT_COMMAS, 1)).when(mixed, F.regexp_extract(t, ja.CLEFT_MIXED, 1))
+    filler = reduce(lambda a, p: a | s.rlike(p), [p for _, p in ja.FILLERS], F.lit(False))
+    rows = _in_context(lines, "のは、").filter(F.contains(s, F.lit("のは、")) & ((F.col("following") == "") | s.rlike(r"[。！!]\z"))).withColumn("head", head)
+    asked = F.regexp_replace("previous", r"[」』）)\"'*_\s　]+\z", "").rlike(r"(?:[？?]|か。?)\z")
+    stem = F.split(F.regexp_extract("head", ja.CLEFT_STEM, 0), "")
+    named = F.exists(stem, lambda c: (c != "") & F.contains("previous", c))
+    return _found(rows.filter(F.col("head").isNotNull() & ~filler & ~asked & ~named).select("doc_id", "line", "raw").distinct(), "cleft_list_ending", "info")
+
+
 def densities(lines: DataFrame, negative: DataFrame) -> DataFrame:
     """Three lines with a negation (at the third), three list rows with a bold label (at the first)."""
     labels = lines.filter(F.col("is_body") & F.col("raw").rlike(ja.BOLD_LABEL))
@@ -325,23 +361,25 @@ def project_terms(lines: DataFrame, flags: dict[str, str | None]) -> DataFrame:
 
 def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(findings, metrics, lines) of docs (doc_id, text).  ``lines`` is cached for the rules; unpersist it when done."""
-    lines = scan_columns(lines_of(parse_documents(docs))).persist()
-    # a finding of these rules needs a character of this range in its own line, so the filter loses none; rules that carry
-    # or count something over lines see all lines, and dashes begin below the range
-    wide = lines.filter(F.col("raw").rlike("[\u2300-\U0010FFFF]"))
+    parsed = parse_documents(docs)
+    # in a step of its own: next to the generator it would be found anew for each line
+    parsed = parsed.withColumn("has_wide", F.exists("lines", lambda x: x["raw"].rlike(WIDE)))
+    lines = scan_columns(parsed.select("doc_id", "has_wide", F.inline("lines"))).persist()
+    # a finding of these rules needs a character of the range in its own line, so the filter loses none; rules that carry or
+    # count something over lines need one somewhere in the document and see all lines of it; dashes begin below the range
+    wide, whole_wide = lines.filter(F.col("raw").rlike(WIDE)), lines.filter("has_wide")
     plain = lines.filter(~F.col("kind").isin([*NOT_TEXT, "table"]) & (F.col("quote_depth") == 0))
     listed = F.when(F.col("list_item"), F.regexp_extract("raw", r"^\s*(?:[-*+]|[0-9]+[.)])\s+", 0)).otherwise("")
     metrics = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(fnd.doc_metrics(plain.withColumn("visible", F.when(listed != "", F.concat(listed, F.ltrim("visible"))).otherwise(F.col("visible"))), "visible"), "doc_id", "left").na.fill(0)
     negative = negations(wide)
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
-        whole, endings(lines), bold(docs), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
-        negative, densities(lines, negative), of_course(lines), fragments(lines), noun_chains(wide), listed_terms(wide), shapes(wide), ai_phrases(wide), narrative(lines), dialogue(lines), project_terms(lines, flags or {}),
+        whole, endings(whole_wide), bold(docs), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),
+        negative, densities(lines, negative), of_course(whole_wide), fragments(whole_wide), residues(whole_wide), cleft_lists(whole_wide), noun_chains(wide), listed_terms(wide), shapes(wide), ai_phrases(wide), narrative(lines), dialogue(whole_wide), project_terms(lines, flags or {}),
     ]
     found = reduce(DataFrame.unionByName, [p.select(*[F.col(c) for c in COLUMNS]) for p in parts])
     if allowed:
-        left = F.array_except("words", F.array(*[F.lit(w) for w in allowed]))
-        found = found.withColumn("words", F.when(F.size("words") > 0, left)).filter("words is null or size(words) > 0").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+        found = fnd.allow_by_rule(found, allowed, ja.ALLOW_RULES, ja.ALLOW_PARTIAL)
     return found, metrics, lines
 
 

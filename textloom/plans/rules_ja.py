@@ -164,3 +164,33 @@ TE_NOT_VERB = [
     "をもって", "に従って", "を含めて", "に限って", "にかけて", "に比べて", "に伴って", "を除いて", "を経て",
     "にて", "せいで", "くらいで", "ぐらいで",
 ]
+
+# Sentences that announce how something will be written, and what excuses them.
+WRITING_ACTION = (
+    r"(?:書(?:きます|く|いてみます|いていきます)|(?:説明|紹介|解説)し(?:ます|ていきます)|まとめ(?:ます|る|ていきます)|お伝えし(?:ます|ていきます)|述べ(?:ます|る)"
+    r"|振り返(?:ります|る|っていきます)|お話し?し(?:ます|ていきます)|お届けします|話していきます)[。！？!?]?\z"
+)
+RESIDUE_OPENER = r"^(?:この記事|本記事|本稿|このブログ|ここ|以下|今回)(?:では|は)"
+WRITING_STYLE = (
+    r"(?:トーン|文体|口調)で|(?:専門用語|箇条書き)を[\s　]*(?:できるだけ|なるべく)?(?:使わず|用いず|避け)|(?:AI|ＡＩ)(?:っぽさ|らしさ)(?:が出ないよう|を(?:抑え|なく|避け))"
+    r"|飾らない言葉で|語り口で|トーンを意識|(?<![0-9０-９])[0-9０-９]+文?字(?:程度|以内|前後)?で"
+)
+WRITING_LIMIT = r"に(?:絞って|限定して|焦点を(?:当てて|絞って))|触れず|扱わず|立ち入らず|[はを]抜きにして"
+SCOPE_EXCLUSION = rf"{RESIDUE_OPENER}[^。！？!?]*(?:扱いません|扱わない|触れません|触れない|省きます|省く|割愛します|省略します)[。！？!?]?\z"
+READER_SCOPE = r"^(?:この|本)?(?:マニュアル|手順書|ガイド|論文|研究)(?:では|は)"
+SCOPE_REFERENCE = r"参照|ご覧|別途|付録|後述|後ほど|別の?[^。！？!?]{0,8}(?:記事|ページ|章|節|報告書?|資料|文書|ガイド)|(?:後|次|前)の(?:章|節)|第[0-9０-９一二三四五六七八九十]+章"
+
+# A list of nouns that ends a sentence after "what ... is,".
+CLEFT_HEAD = r"^([^。！？!?]{0,60}?(?:[るたいうくすつぬむぶぐ]|な|[んい]だ))のは、"
+CLEFT_NOUN_END = r"(?:[一-龥々〆ヵヶァ-ヴーｦ-ﾟA-Za-z0-9０-９Ａ-Ｚａ-ｚ%％さ]|(?<!の)み)"
+CLEFT_COMMA_ITEM = rf"(?:(?!から|より)[^、，,・。！？!?「」『』（）()\[\]\s　をがはにでへ]){{0,14}}(?:{CLEFT_NOUN_END}|もの|こと|[しきれえげぎちせ]|(?<!ばか)り)"
+CLEFT_MIXED_ITEM = rf"(?:(?!から|より|および)[^、，,・。！？!?「」『』（）()\[\]\s　をがはにでへとや]){{0,14}}(?:{CLEFT_NOUN_END}|もの)"
+CLEFT_TAIL = r"(?:など|の[0-9０-９一二三四五六七八九十]+[つ点])?[。！!]?\z"
+CLEFT_COMMAS = rf"{CLEFT_HEAD}{CLEFT_COMMA_ITEM}(?:[、，・]{CLEFT_COMMA_ITEM}){{2,}}{CLEFT_TAIL}"
+CLEFT_MIXED = rf"{CLEFT_HEAD}({CLEFT_MIXED_ITEM}(?:(?:[、，・]|と|や|および){CLEFT_MIXED_ITEM})+){CLEFT_TAIL}"
+CLEFT_JOINER = r"[とや]|および"
+CLEFT_STEM = r"[一-龥々〆ヵヶ]+(?=[ぁ-ん]*\z)"
+
+# Rules that the list of allowed words can take away, and those of them that lose single words.
+ALLOW_RULES = "ai_phrase calque katakana_term metaphor_label metaphor_verb project_term renyo_noun slop_vocabulary translated_term".split()
+ALLOW_PARTIAL = "ai_phrase calque katakana_term project_term renyo_noun".split()

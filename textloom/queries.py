@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom import queries_files as more
-from textloom.functions.text import around
+from textloom.functions.text import around, strip
 from textloom.operators import findings as fnd
 from textloom.operators import segments as seg
 from textloom.operators import spans as spn
@@ -81,6 +81,22 @@ def next_sentence_context(spark, d):
     return rows.select("doc_id", "line", "seq", F.length("before").alias("n_before"), F.length("after").alias("n_after"))
 
 
+def sentence_neighbours(spark, d):
+    """Sentences of every third block of three lines, with the next of the block and the whole one before."""
+    block = F.floor((F.col("line") - 1) / 3)
+    kind = F.when(block % 3 == 0, "paragraph").when(block % 3 == 2, "heading").otherwise("table")
+    rows = _lines(spark, d).filter(strip("raw") != "").withColumns({"block": block, "kind": kind})
+    got = seg.sentences_in_context(rows, "raw", ENDS, ("paragraph", "table"), ("paragraph", "heading"))
+    return got.select("doc_id", "line", "pos", "following", "previous")
+
+
+def allowed_by_rule(spark, d):
+    """Word findings less the allowed words: one rule loses words, one goes as a whole, the third is left alone."""
+    rows = _word_findings(spark, d).withColumn("label", F.concat(F.lit("「"), F.get("words", F.lit(0)), F.lit("」")))
+    got = fnd.allow_by_rule(rows, ["from", "hate", "stupid"], ["common", "harsh"], ["common"])
+    return got.select("doc_id", "line", "rule", "words")
+
+
 def lexicon_hits(spark, d):
     return fnd.lexicon_hits(_lines(spark, d), WORDS).select("doc_id", "line", "words")
 
@@ -371,6 +387,16 @@ SELECT doc_id, error, warn, info, n_findings, n_findings = 0 AS no_rule_findings
   CASE WHEN n_findings = 0 THEN 100 ELSE greatest(1, least(99, (2 * 4000 * mm + (40 + dw) * mm + 1000 * lw) // (2 * ((40 + dw) * mm + 1000 * lw)))) END::BIGINT AS penalty_score, warn > 0 AS gate_hit FROM z""",
     "repeated_lines": rf"WITH {_L}, r AS (SELECT doc_id, line, min(line) OVER (PARTITION BY doc_id, raw) AS first_line, raw FROM raw_lines WHERE {_FULL}) SELECT * FROM r WHERE line > first_line",
     "next_sentence_context": f"WITH {_S} SELECT doc_id, line, seq, length(lag(sentence) OVER w) AS n_before, length(lead(sentence) OVER w) AS n_after FROM s WINDOW w AS (PARTITION BY doc_id, line ORDER BY seq)",
+    "sentence_neighbours": rf"""WITH {_S[: _S.rindex(", s AS")]}, p AS (
+  SELECT doc_id, line, pos::INT - 1 AS pos, sentence, (line - 1) // 3 AS block, CASE (line - 1) // 3 % 3 WHEN 0 THEN 'paragraph' WHEN 2 THEN 'heading' ELSE 'table' END AS kind FROM cut),
+q AS (SELECT *, coalesce(lag(regexp_matches(sentence, '[.!?]$')) OVER w, false)::INT AS done, coalesce(lead(sentence) OVER w, '') AS following FROM p WINDOW w AS (PARTITION BY doc_id, block ORDER BY line, pos)),
+e AS (SELECT *, sum(done) OVER (PARTITION BY doc_id, block ORDER BY line, pos) AS nth FROM q),
+g AS (SELECT doc_id, block, nth, kind, string_agg(sentence, '' ORDER BY line, pos) AS whole FROM e GROUP BY doc_id, block, nth, kind),
+h AS (SELECT doc_id, block, nth, CASE WHEN lag(kind) OVER a IN ('paragraph', 'heading') THEN lag(whole) OVER a ELSE '' END AS previous FROM g WINDOW a AS (PARTITION BY doc_id ORDER BY block, nth))
+SELECT doc_id, line, pos, following, previous FROM e JOIN h USING (doc_id, block, nth) WHERE kind <> 'heading'""",
+    "allowed_by_rule": f"""WITH {_HITS}, x AS (SELECT doc_id, line, rule, words, list_filter(words, lambda w: w NOT IN ('from', 'hate', 'stupid')) AS kept FROM f)
+SELECT doc_id, line, rule, CASE WHEN rule = 'common' THEN kept ELSE words END AS words FROM x
+WHERE CASE rule WHEN 'common' THEN len(kept) > 0 WHEN 'harsh' THEN words[1] NOT IN ('from', 'hate', 'stupid') AND (len(words) = 1 OR len(list_filter(words[2:], lambda w: w NOT IN ('from', 'hate', 'stupid'))) > 0) ELSE true END""",
     "lexicon_hits": f"WITH {_HITS} SELECT doc_id, line, words FROM w",
     "lexicon_allowed": f"WITH {_HITS} SELECT doc_id, line, rule, rest AS words FROM f WHERE len(rest) > 0",
     "allow_removed_counts": f"WITH {_HITS} SELECT r.rule, count(f.doc_id) AS removed FROM (SELECT unnest(['common', 'uncommon', 'harsh']) AS rule) r LEFT JOIN f ON f.rule = r.rule AND len(rest) = 0 GROUP BY r.rule",
@@ -430,7 +456,7 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 }
 
 QUERIES = {f.__name__: f for f in (
-    penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
+    penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, sentence_neighbours, allowed_by_rule, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
     hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_near_tags, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
     turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
