@@ -3,6 +3,7 @@
 import pytest
 
 from textloom.operators import findings as fnd
+from textloom.operators.markdown import inline_spans
 from textloom.plans import rules_ja as ja
 from textloom.plans.lint import envelope, lint
 
@@ -40,6 +41,14 @@ CASES = [
     ("not-but+", "量ではなく質を選ぶ。", "negative_parallelism", True),
     ("not-but-also", "量ではなく質でもある。", "negative_parallelism", False),
     ("not-this+", "これは努力じゃない、仕組みです。", "negative_parallelism", True),
+    ("nor+", "車でも、家でもない。有頂天だ。", "negative_parallelism", True),
+    ("nor-lines", "車でも、\n家でも\nない。有頂天だ。", "negative_parallelism", True),
+    ("nor-blocks", "車でも、\n\n家でもない。有頂天だ。", "negative_parallelism", False),
+    ("nor-idiom", "車でも、何でもない。有頂天だ。", "negative_parallelism", False),
+    ("nor-denied", "車でも、家でもない。船もない。", "negative_parallelism", False),
+    ("nor-image", "車でも、\n![図](a.png)\n家でもない。有頂天だ。", "negative_parallelism", False),
+    ("nor-linked", "車でも、\n[![図](a.png)](b(c(d)))\n家でもない。有頂天だ。", "negative_parallelism", False),
+    ("nor-quote", "車でも、\n家「船」でもない。有頂天だ。", "negative_parallelism", True),
     ("dense+", "量ではなく質だ。\n\n紙ではなく板だ。\n\n昼ではなく夜だ。", "negative_parallelism_density", True),
     ("dense-", "量ではなく質だ。\n\n紙ではなく板だ。", "negative_parallelism_density", False),
     ("label+", "- **甲**: 一\n- **乙**: 二\n- **丙**: 三", "bold_label_list", True),
@@ -123,6 +132,18 @@ def test_lines_of_findings(found):
     assert found[at["fragment+"], "fragment_run"].line == 1
 
 
+def test_lines_over_breaks(found):
+    at = {c[0]: n for n, c in enumerate(CASES)}
+    assert found[at["nor-lines"], "negative_parallelism"].line == 1
+
+
+def test_nested_destinations():
+    inner = "b" + "(c" * 32 + ")" * 32
+    assert inline_spans("[a](b(c(d)e)f) g") == [(3, 14, "link_destination")]
+    assert inline_spans(f"[a]({inner})") == [(3, 5 + len(inner), "link_destination")]
+    assert inline_spans(f"[a]((x{inner}))") == [] and inline_spans("[a](" + "(b" * 5000) == []
+
+
 def test_envelope(spark):
     docs = spark.createDataFrame([(1, "量ではなく質を選ぶ。"), (2, "速い。"), (3, None), (4, "仕様が壊れる。")], "doc_id long, text string")
     rows = {r.doc_id: r for r in envelope(docs).collect()}

@@ -34,7 +34,13 @@ _HTML_BLOCK = re.compile(r" {0,3}</?(?:" + "|".join(_HTML_BLOCKS) + r")(?=[\s/>]
 _TAG = re.compile(r"<(?:/[A-Za-z][A-Za-z0-9-]*\s*|[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w:.-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?)>")
 _TOKEN = re.compile(r"<!--[\s\S]*?-->|<\?[\s\S]*?\?>|<![A-Z][^>]*>|<!\[CDATA\[[\s\S]*?\]\]>")
 _AUTOLINK = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+)>")
-_DESTINATION = re.compile(r"\(\s*(?:<[^<>\n]*>|[^\s()<>]*(?:\([^\s()]*\)[^\s()]*)*)(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")
+def _nested(depth: int) -> str:
+    """Characters of a destination with balanced parentheses down to ``depth``; nothing is given back once it is taken."""
+    plain = r"(?:\\[()]|[^\s()<>])*+"
+    return rf"{plain}(?:\({_nested(depth - 1)}\){plain})*+" if depth else plain
+
+
+_DESTINATION = re.compile(rf"\(\s*(?:<[^<>\n]*>|{_nested(32)})(?:\s+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?\s*\)")  # 32: a fixed value
 _BARE_URL = re.compile(r"(?:https?://|(?<![A-Za-z0-9/.:_-])www\.)[^\s<>]+")
 _REFERENCE = re.compile(r" {0,3}\[(?!\s*\])(?:[^\[\]\\]|\\.){1,999}\]:[ \t]*(?:<[^<>\n]*>|[^\s<]\S*)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
 _PLAIN = ("paragraph", "list", "quote")

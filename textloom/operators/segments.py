@@ -88,3 +88,26 @@ def sentences_in_context(lines: DataFrame, text: str, ends: str = "。！？!?",
     whole = whole.withColumn("previous", F.when(F.lag("kind").over(above).isin(*before), F.lag("whole").over(above)).otherwise(""))
     out = rows.filter(F.col("kind").isin(*kinds) & (F.col("sentence") != "")).join(whole.select("doc_id", "block", "nth", "previous"), ["doc_id", "block", "nth"])
     return out.select("doc_id", "block", "line", "raw", "pos", "sentence", "following", "previous")
+
+
+def joined_parts(lines: DataFrame, by: list[str], text: str, cut: Column) -> DataFrame:
+    """by, part, x, joined: the text of lines in a row, joined without a mark; lines that ``cut`` part them and are left out.
+
+    x holds line, v (the text), raw and start, the place of v in joined, of every line of the part in order.
+    """
+    w = Window.partitionBy(*by).orderBy("line")
+    rows = lines.select(*by, "line", "raw", F.col(text).alias("v"), cut.cast("int").alias("cut")).withColumn("part", F.sum("cut").over(w))
+    rows = rows.filter("cut = 0 and v <> ''")
+    before = Window.partitionBy(*by, "part").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("v")).over(before), F.lit(0)))
+    whole = rows.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct("line", "v", "raw", "start"))).alias("x"))
+    return whole.withColumn("joined", F.array_join(F.transform("x", lambda r: r["v"]), ""))
+
+
+def lines_of_matches(parts: DataFrame, by: list[str], pattern: str) -> DataFrame:
+    """by, line, raw of the lines in which a match over the joined text of ``joined_parts`` begins."""
+    between, hits = F.split("joined", pattern, -1), F.regexp_extract_all("joined", F.lit(pattern), F.lit(0))
+    size = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda t, s: t + F.length(s))
+    starts = F.transform(F.sequence(F.lit(1), F.size(hits)), lambda n: size(between, n) + size(hits, n - 1))
+    line = lambda p: F.array_max(F.filter("x", lambda r: r["start"] <= p))
+    return parts.filter(F.col("joined").rlike(pattern)).select(*by, F.explode(F.array_distinct(F.transform(starts, line))).alias("r")).select(*by, "r.line", "r.raw")

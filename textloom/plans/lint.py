@@ -15,7 +15,7 @@ from textloom.functions.text import squeeze, strip
 from textloom.operators import findings as fnd
 from textloom.operators.bold import bold_marks
 from textloom.operators.markdown import parse_documents
-from textloom.operators.segments import ending_runs, pieces, sentences_in_context
+from textloom.operators.segments import ending_runs, joined_parts, lines_of_matches, pieces, sentences_in_context
 
 from . import rules_ja as ja
 
@@ -133,12 +133,24 @@ def sentence_patterns(lines: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rule", "line", "severity", "label", F.array().cast("array<string>").alias("words"), strip("raw").alias("snippet"))
 
 
-def negations(lines: DataFrame) -> DataFrame:
-    """'not A but B', unless every one of the line says 'but also'; 'not A, it is B'."""
+def image_only() -> Column:
+    """A line that shows nothing but an image, or nothing but an image that is a link."""
+    linked = strip("raw").startswith("[![") & strip("visible").rlike(r"^\[\s*\]\z") & strip("raw").endswith(")")
+    return ((strip("visible") == "") & F.col("raw").rlike(r"!\[")) | linked
+
+
+def negations(lines: DataFrame, whole: DataFrame) -> DataFrame:
+    """'not A but B', unless every one of the line says 'but also'; 'not A, it is B'; 'not A, nor B. It is C.', which may run
+    over the lines of a paragraph.  One row a line; ``whole`` has all lines of the documents."""
     count = lambda p: F.regexp_count("plain", F.lit(p))
     but = F.col("plain").rlike(ja.NOT_BUT) & (count("ではなく") != count(ja.NOT_BUT_ALSO))
     this = F.exists(pieces(F.col("plain"), ENDS), lambda s: s.rlike(ja.NOT_THIS))
-    return _found(lines.filter(F.col("is_body") & (but | this)), "negative_parallelism", "info")
+    here = lines.filter(F.col("is_body") & (but | this | F.col("plain").rlike(ja.NEGATION_EXTRA)))
+    rows = whole.filter("kind = 'paragraph'").withColumn("t", strip(F.regexp_replace("unquoted", r"__|\*", "")))
+    some = rows.filter(F.col("t").rlike("い。|^。")).select("doc_id", "block").distinct()
+    parts = joined_parts(rows.join(some, ["doc_id", "block"], "left_semi"), ["doc_id", "block"], "t", (F.col("quote_depth") > 0) | image_only())
+    over = lines_of_matches(parts.filter(F.contains("joined", F.lit("でもない。"))), ["doc_id", "block"], ja.NEGATION_EXTRA)
+    return _found(here.select("doc_id", "line", "raw").unionByName(over.select("doc_id", "line", "raw")).distinct(), "negative_parallelism", "info")
 
 
 def _in_context(lines: DataFrame, trigger: str) -> DataFrame:
@@ -371,7 +383,7 @@ def lint(docs: DataFrame, flags: dict[str, str | None] | None = None, allowed: l
     plain = lines.filter(~F.col("kind").isin([*NOT_TEXT, "table"]) & (F.col("quote_depth") == 0))
     listed = F.when(F.col("list_item"), F.regexp_extract("raw", r"^\s*(?:[-*+]|[0-9]+[.)])\s+", 0)).otherwise("")
     metrics = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(fnd.doc_metrics(plain.withColumn("visible", F.when(listed != "", F.concat(listed, F.ltrim("visible"))).otherwise(F.col("visible"))), "visible"), "doc_id", "left").na.fill(0)
-    negative = negations(wide)
+    negative = negations(wide, whole_wide)
     whole = fnd.metric_rules(metrics).select("doc_id", "rule", "line", "severity", F.lit("").alias("label"), F.array().cast("array<string>").alias("words"), F.lit("").alias("snippet"))
     parts = [
         whole, endings(whole_wide), bold(docs), emoji(wide), dashes(lines), middle_dots(wide), one_sentence(wide), headings(wide, metrics), colons(lines), vocabulary(wide), metaphors(wide), sentence_patterns(wide),

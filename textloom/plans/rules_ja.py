@@ -194,3 +194,15 @@ CLEFT_STEM = r"[一-龥々〆ヵヶ]+(?=[ぁ-ん]*\z)"
 # Rules that the list of allowed words can take away, and those of them that lose single words.
 ALLOW_RULES = "ai_phrase calque katakana_term metaphor_label metaphor_verb project_term renyo_noun slop_vocabulary translated_term".split()
 ALLOW_PARTIAL = "ai_phrase calque katakana_term project_term renyo_noun".split()
+
+# Two denials and then what holds.
+NEGATION_NEGATIVE_END = (
+    r"(?:[な無]い|[な無]かった|ません(?:でした)?)"
+    r"(?:(?:の|ん)(?:だ|です|だった|でした|である|であった)|です|でした|でしょう|だろう|であろう)?(?:よね|よ|ね)?"
+)
+NEGATION_EXTRA = (
+    r"(?:[^。、]{1,15}(?:では|じゃ)ない。[^。]{0,15}|[^。、]{1,15}(?<!それ)(?<!今)(?<!いつ)(?<!誰)(?<!何)でも、[^。、]{1,15})"
+    r"(?<!何)(?<!なん)(?<!まんざら)(?<!とん)でもない。"
+    rf"(?![^。！？!?]{{0,40}}{NEGATION_NEGATIVE_END}[。！!])"
+    r"[^。！？!?]{1,40}(?:[うくぐすつぬぶむるいだた]|だけ)(?:よね|よ|ね)?[。！!]"
+)

@@ -90,6 +90,13 @@ def sentence_neighbours(spark, d):
     return got.select("doc_id", "line", "pos", "following", "previous")
 
 
+def matches_over_lines(spark, d):
+    """Lines where a full stop meets a capital once lines without figures are joined, within blocks of 20 lines."""
+    rows = _lines(spark, d).filter(strip("raw") != "").withColumns({"block": F.floor((F.col("line") - 1) / 20), "t": F.col("raw")})
+    parts = seg.joined_parts(rows, ["doc_id", "block"], "t", F.col("raw").rlike("[0-9]"))
+    return seg.lines_of_matches(parts, ["doc_id", "block"], r"[a-z]\.[A-Z]").select("doc_id", "block", "line")
+
+
 def allowed_by_rule(spark, d):
     """Word findings less the allowed words: one rule loses words, one goes as a whole, the third is left alone."""
     rows = _word_findings(spark, d).withColumn("label", F.concat(F.lit("「"), F.get("words", F.lit(0)), F.lit("」")))
@@ -394,6 +401,14 @@ e AS (SELECT *, sum(done) OVER (PARTITION BY doc_id, block ORDER BY line, pos) A
 g AS (SELECT doc_id, block, nth, kind, string_agg(sentence, '' ORDER BY line, pos) AS whole FROM e GROUP BY doc_id, block, nth, kind),
 h AS (SELECT doc_id, block, nth, CASE WHEN lag(kind) OVER a IN ('paragraph', 'heading') THEN lag(whole) OVER a ELSE '' END AS previous FROM g WINDOW a AS (PARTITION BY doc_id ORDER BY block, nth))
 SELECT doc_id, line, pos, following, previous FROM e JOIN h USING (doc_id, block, nth) WHERE kind <> 'heading'""",
+    "matches_over_lines": rf"""WITH {_L}, c AS (SELECT doc_id, (line - 1) // 20 AS block, line, raw, regexp_matches(raw, '[0-9]')::INT AS cut FROM raw_lines WHERE {_FULL}),
+d AS (SELECT *, sum(cut) OVER (PARTITION BY doc_id, block ORDER BY line) AS part FROM c),
+e AS (SELECT *, coalesce(sum(length(raw)) OVER (PARTITION BY doc_id, block, part ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d WHERE cut = 0),
+j AS (SELECT doc_id, block, part, string_agg(raw, '' ORDER BY line) AS t FROM e GROUP BY doc_id, block, part),
+k AS (SELECT *, list_transform(regexp_extract_all(t, '[a-z]\.[A-Z]'), lambda x: length(x)) AS hs, list_transform(string_split_regex(t, '[a-z]\.[A-Z]'), lambda x: length(x)) AS gs FROM j),
+m AS (SELECT doc_id, block, part, unnest(list_transform(range(1, len(hs) + 1), lambda n: coalesce(list_sum(gs[1:n]), 0) + coalesce(list_sum(hs[1:n - 1]), 0))) AS p FROM k),
+x AS (SELECT doc_id, block, part, p, max(line) AS line FROM m JOIN e USING (doc_id, block, part) WHERE start <= p GROUP BY doc_id, block, part, p)
+SELECT DISTINCT doc_id, block, line FROM x""",
     "allowed_by_rule": f"""WITH {_HITS}, x AS (SELECT doc_id, line, rule, words, list_filter(words, lambda w: w NOT IN ('from', 'hate', 'stupid')) AS kept FROM f)
 SELECT doc_id, line, rule, CASE WHEN rule = 'common' THEN kept ELSE words END AS words FROM x
 WHERE CASE rule WHEN 'common' THEN len(kept) > 0 WHEN 'harsh' THEN words[1] NOT IN ('from', 'hate', 'stupid') AND (len(words) = 1 OR len(list_filter(words[2:], lambda w: w NOT IN ('from', 'hate', 'stupid'))) > 0) ELSE true END""",
@@ -456,7 +471,7 @@ SELECT doc_id, substr(text, greatest(length(pre) - 18, 0) + 1, length(pre) + len
 }
 
 QUERIES = {f.__name__: f for f in (
-    penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, sentence_neighbours, allowed_by_rule, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
+    penalty_score, line_scan, doc_metrics, line_metrics, metric_rules, sentence_records, ending_runs, repeated_lines, next_sentence_context, sentence_neighbours, allowed_by_rule, matches_over_lines, lexicon_hits, lexicon_allowed, allow_removed_counts, capped_hits,
     hit_density, multi_sentence_lines, paragraphs, bare_url_spans, html_tokens, merged_masks, masked_text, urls_near_tags, turn_diff_words, turn_marker_delta, turn_structure, turn_comma_rates,
     turn_ending_counts, turn_logic_points, turn_line_multisets, turn_heading_shapes, turn_opcodes, turn_ending_changes, bigram_pairing, label_sync, props_contract, size_limits, status_counts, status_gaps, semver_check, section_sizes, context_snippets, lint_envelope, jp_rules_golden, jp_diff_golden, jp_words_golden,
 )}
