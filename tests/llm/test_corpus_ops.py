@@ -3,7 +3,8 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations, permutations
 
 import numpy as np
 import public_tokenizers
@@ -371,6 +372,63 @@ def test_local_search_beats_best_fit():
         assert len(better) <= len(plain)
 
 
+def test_no_step_is_left():
+    """No move and no swap of one for one or two for one is left out by a cap on bins, pieces a bin or rounds."""
+    r = np.random.default_rng(11)
+    cases = [(r.integers(30, 81, 400), 200), (r.integers(50, 111, 300), 200), (np.r_[np.full(300, 1), r.integers(90, 250, 60)], 300), (np.r_[np.full(450, 331), 980, 15, np.full(70, 10)], 1000)]
+    for sizes, length in cases:
+        sizes = sizes.tolist()
+        bins = [[sizes[i] for i in b] for b in op9_packing.pack(sizes, length)]
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and all(0 < sum(b) <= length for b in bins)
+        least = op9_packing.least_bins(Counter(sizes), length)
+        if len(bins) == least:
+            continue
+        open_bins = [b for b in bins if sum(b) < length]
+        for a, b in permutations(open_bins, 2):
+            if sum(a) <= sum(b):
+                give = {*a} | {sum(x) for x in combinations(a, 2)}
+                assert not any(0 < x - y <= length - sum(b) for x in give for y in {0, *b}), (a, b)
+
+
+def test_bound_of_bins():
+    def fewest(sizes, length):
+        best = len(sizes)
+
+        def place(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(sizes):
+                best = len(rooms)
+                return
+            for k, room in enumerate(rooms):
+                if sizes[i] <= room:
+                    place(i + 1, [*rooms[:k], room - sizes[i], *rooms[k + 1 :]])
+            place(i + 1, [*rooms, length - sizes[i]])
+
+        place(0, [])
+        return best
+
+    r = np.random.default_rng(3)
+    for _ in range(60):
+        sizes, length = r.integers(1, 13, 8).tolist(), int(r.integers(12, 16))
+        assert op9_packing.least_bins(Counter(sizes), length) <= fewest(sizes, length) <= len(op9_packing.pack(sizes, length))
+    assert op9_packing.least_bins({}, 10) == 0 and op9_packing.pack([], 10) == []
+    assert op9_packing.least_bins({6: 5, 4: 5, 1: 1}, 10) == 6
+
+
+def test_pieces_of_all_blocks_meet(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    many, one = (op9_packing.pack_documents(docs, path, length=64, block=n).collect() for n in (5, 10**6))
+    number = lambda rows: len({r.sequence_id for r in rows})
+    assert number(many) == number(one) == len(op9_packing.pack([r.length for r in one], 64))
+    fill = Counter()
+    for r in many:
+        fill[r.sequence_id] += r.length
+    places = {(r.sequence_id, r.offset + i) for r in many for i in range(r.length)}
+    assert places == {(b, i) for b, n in fill.items() for i in range(n)} and sum(fill.values()) == len(places) and max(fill.values()) <= 64
+
+
 def brute_lines(rows, run):
     norm = lambda x: " ".join(words(x.lower()))
     low = -(2**63)
