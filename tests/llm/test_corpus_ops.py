@@ -105,6 +105,53 @@ def test_repeats(docs, corpus, no_docs):
     assert op3_run_index.remove_repeats(no_docs).count() == 0
 
 
+def test_repeats_send_few_bytes_a_key(spark):
+    """What goes through the two large shuffles beside the stretches' own bytes, compressed as a shuffle does it."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    shared = r.integers(97, 123, 60_000).astype(np.uint8).tobytes()
+    rows = [(1_000_000 + 37 * i, r.integers(97, 123, 4000).astype(np.uint8).tobytes() + shared[1000 * i : 1000 * i + 3000]) for i in range(60)]
+    home, length, taps = run_dir(spark, "t"), 50, 24
+    table = spark.createDataFrame(rows, "doc_id long, text binary").coalesce(1)
+    sent = table.mapInArrow(op3_run_index._scan(home, length, taps, 2, 100_000), op3_run_index.ENTRIES).cache()
+    small = lambda table, *but: sum(len(pa.compress(bytes(x[c]), "lz4_raw", asbytes=True)) for x in table.collect() for c in table.columns if c not in ("bucket", "part", "bytes", *but) and x[c])
+    keys = sum(len(x["keys"]) // 4 for x in sent.collect())
+    assert keys > 20_000 and small(sent) < 7 * keys
+    pieces = sent.groupBy("bucket").applyInArrow(op3_run_index._shared(), op3_run_index.SHARED).groupBy("part").applyInArrow(op3_run_index._cut(home, length, taps, 2, 8), op3_run_index.PIECES).cache()
+    stretches = sum(len(x["grams"]) for x in pieces.collect())
+    assert stretches > 4000 and small(pieces, "data") < 16 * stretches
+    sent.unpersist()
+    pieces.unpersist()
+
+
+def test_repeats_drop_what_they_have_sent(spark, docs, monkeypatch):
+    """Once a table is written, the shuffle files of the steps before it are gone, whether or not the driver collects garbage."""
+    import os
+    import time
+
+    top, left, settle = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs(), [], op3_run_index.settle
+    files = lambda: {f for d in top for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+
+    def watched(*a, **b):
+        before = files()
+        out = settle(*a, **b)
+        until = time.time() + 10
+        while (found := files() - before) and time.time() < until:
+            time.sleep(0.1)
+        left.append(found)
+        return out
+
+    monkeypatch.setattr(op3_run_index, "settle", watched)
+    assert op3_run_index.remove_repeats(docs, entries=2000, part_bytes=4000).count() == docs.count()
+    assert left == [set(), set()]
+
+
+def test_numbers_come_back_from_their_bytes():
+    for kind, x in (("<i8", [-(2**63), -1, 0, 5, 2**63 - 1]), ("<u4", [0, 1, 2**32 - 1]), ("u1", [7, 255]), ("<i8", []), ("<u4", [])):
+        assert op3_run_index._unpacked(op3_run_index._packed(np.array(x, np.dtype(kind)), kind), kind).tolist() == x
+
+
 def test_stretches_hold_every_gram_once():
     texts = [b"ab" * 100, b"x" * 49, b"", bytes(range(256)) * 3]
     of, at, n, _ = op3_run_index.stretches(texts, 50, 24, block=64)

@@ -4,8 +4,8 @@ Every ``length``-byte string (gram) of the corpus has one key, the smallest hash
 so equal grams have equal keys wherever they are, and neighbouring grams mostly share theirs: a stretch of grams with
 one key costs one entry.  The work goes from cheap to exact:
 
-1. texts are written to the shared folder in parts; each part sends each key once, with the smallest and the largest
-   document that hold it, to the key's bucket;
+1. texts are written to the shared folder in parts; each part sends each key once, with the smallest document that
+   holds it and whether another one does, to the key's bucket;
 2. keys that two documents hold are sent back; only their stretches send their bytes, equal stretches of a few MB of
    text once, for their smallest document (the others are settled where they are);
 3. a bucket settles equal stretches, and indexes the others key by key: ``RunIndex`` is a run-compressed
@@ -15,6 +15,9 @@ one key costs one entry.  The work goes from cheap to exact:
    of such a class are marked;
 4. the marked grams go back to their parts, where the covered bytes are cut out.
 
+Numbers are sent by the bytes of their digits (``_packed``), and what a step has sent is dropped once its result is
+written: disk has to hold the texts and what one step sends, not what all have sent.
+
 A suffix order over the corpus would have to lie in one place; grams of one key lie in one bucket, which is all that a
 match of ``length`` bytes needs, and the order within it is exact, so the result is too.  What a bucket gets is bounded
 by the different stretches of a key and the slices that hold it, not by their occurrences.
@@ -132,7 +135,17 @@ def _by_bucket(bucket: np.ndarray):
             yield int(bucket[low]), slice(low, high)
 
 
-ENTRIES = "bucket long, part long, bytes long, keys binary, least binary, most binary"
+def _packed(x: np.ndarray, kind: str) -> bytes:
+    """Numbers as bytes: the lowest byte of each, then the next of each, and so on; high bytes, mostly equal, lie together."""
+    return x.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T.tobytes()
+
+
+def _unpacked(x: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(np.frombuffer(x, np.uint8).reshape(size, len(x) // size).T.tobytes(), kind)
+
+
+ENTRIES = "bucket long, part long, bytes long, keys binary, least binary, several binary"
 
 
 def _reduced(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,10 +194,10 @@ def _scan(home: str, length: int, taps: int, buckets: int, most: int):
                 found.append(_reduced(_places(key, buckets), doc, doc))
             place, least, largest = _reduced(*(np.concatenate(x) for x in zip(*found, strict=True)))
             out = [(-1, part, held, b"", b"", b"")]  # the part itself, which may have no stretches at all
-            out += [(b, part, 0, (place[s] & 0xFFFFFFFF).astype("<u4").tobytes(), least[s].astype("<i8").tobytes(), largest[s].astype("<i8").tobytes()) for b, s in _by_bucket(place >> 32)]
+            out += [(b, part, 0, _packed(np.diff(place[s] & 0xFFFFFFFF, prepend=0), "<u4"), _packed(least[s], "<i8"), np.packbits(least[s] < largest[s]).tobytes()) for b, s in _by_bucket(place >> 32)]
             number, ids, texts, held = number + 1, [], [], 0
             kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 3)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "part", "bytes", "keys", "least", "most"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bucket", "part", "bytes", "keys", "least", "several"])
 
         for whole in batches:
             for batch in slices(whole, "text"):
@@ -199,8 +212,8 @@ def _scan(home: str, length: int, taps: int, buckets: int, most: int):
     return scan
 
 
-def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(column).to_pylist())])
+def _joined(table: pa.Table, column: str, kind: str, read=_unpacked) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(read(x, kind) for x in table.column(column).to_pylist())])
 
 
 SHARED = "part long, bucket long, keys binary"
@@ -213,13 +226,18 @@ def _shared():
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
             return pa.table({"part": table.column("part"), "bucket": table.column("bucket"), "keys": pa.array([b""] * len(table), pa.binary())})
-        key, least, most = (_joined(table, c, t) for c, t in (("keys", "<u4"), ("least", "<i8"), ("most", "<i8")))
-        part = np.repeat(table.column("part").to_numpy(), [len(x) // 4 for x in table.column("keys").to_pylist()])
-        every, low, high = _reduced(key, least, most)
-        wanted = (low < high)[np.searchsorted(every, key)]
+        per = [len(x) // 4 for x in table.column("keys").to_pylist()]
+        key, least = _joined(table, "keys", "<u4", lambda x, t: np.cumsum(_unpacked(x, t), dtype=t)), _joined(table, "least", "<i8")
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(table.column("several").to_pylist(), per, strict=True)]).astype(bool)
+        part = np.repeat(table.column("part").to_numpy(), per)
+        every, low, high = _reduced(key, least, least)
+        found = np.searchsorted(every, key)
+        both = low < high
+        both[found[several]] = True
+        wanted = both[found]
         key, part = key[wanted], part[wanted]
         order = np.argsort(part, kind="stable")
-        out = [(b, key[order][s].tobytes()) for b, s in _by_bucket(part[order])]
+        out = [(b, _packed(key[order][s], "<u4")) for b, s in _by_bucket(part[order])]
         return pa.table({"part": pa.array([x[0] for x in out], pa.int64()), "bucket": pa.array([bucket] * len(out), pa.int64()), "keys": pa.array([x[1] for x in out], pa.binary())})
 
     return shared
@@ -267,7 +285,7 @@ def _cut(home: str, length: int, taps: int, buckets: int, finer: int):
             lead = np.unique(code, return_index=True)[1]
             later = np.flatnonzero(doc > least[code])
             if len(later):
-                out.append((-1 - part, part, *[b""] * 5, rows[of[later]].astype("<u4").tobytes(), at[later].astype("<u4").tobytes(), _full(n[later]).astype("<i8").tobytes()))
+                out.append((-1 - part, part, *[b""] * 5, _packed(rows[of[later]], "<u4"), _packed(at[later], "<u4"), _packed(_full(n[later]), "<i8")))
             begin, flat = np.cumsum(size) - size, memoryview(data)
             bucket = ((key[lead] >> np.uint64(20)) % np.uint64(finer)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -279,7 +297,8 @@ def _cut(home: str, length: int, taps: int, buckets: int, finer: int):
                 mine, places = lead[order[s]], held[cuts[b]]
                 number[order[s]] = np.arange(len(mine))
                 pieces = b"".join([flat[x : x + y] for x, y in zip(begin[mine].tolist(), size[mine].tolist(), strict=True)])
-                out.append((b, part, least[order[s]].astype("<i8").tobytes(), n[mine].astype(np.uint8).tobytes(), key[mine].astype("<u8").tobytes(), pieces, number[code[places]].astype("<u4").tobytes(), rows[of[places]].astype("<u4").tobytes(), at[places].astype("<u4").tobytes(), b""))
+                short = key[mine] ^ key[mine] >> np.uint64(32)  # two keys of one bucket that meet in these 32 bits are indexed together
+                out.append((b, part, _packed(least[order[s]], "<i8"), _packed(n[mine], "u1"), _packed(short, "<u4"), pieces, _packed(number[code[places]], "<u4"), _packed(rows[of[places]], "<u4"), _packed(at[places], "<u4"), b""))
         names = ["bucket", "part", "docs", "grams", "keys", "data", "codes", "rows", "starts", "marks"]
         cols = [*zip(*out, strict=True)] or [[]] * len(names)
         return pa.table({c: pa.array(x, pa.int64() if c in ("bucket", "part") else pa.binary()) for c, x in zip(names, cols, strict=True)})
@@ -368,8 +387,8 @@ def _mark(length: int, most: int = 1 << 18):
     def mark(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             return table.select(["part", "rows", "starts", "marks"])
-        data, lens = b"".join(table.column("data").to_pylist()), _joined(table, "grams", np.uint8).astype(np.int64)
-        doc, key = _joined(table, "docs", "<i8"), _joined(table, "keys", "<u8")
+        data, lens = b"".join(table.column("data").to_pylist()), _joined(table, "grams", "u1").astype(np.int64)
+        doc, key = _joined(table, "docs", "<i8"), _joined(table, "keys", "<u4")
         size = lens + length - 1
         begin = np.cumsum(size) - size
         code = _distinct(data, size)
@@ -405,7 +424,7 @@ def _mark(length: int, most: int = 1 << 18):
         part, row, start = np.repeat(table.column("part").to_numpy(), places), _joined(table, "rows", "<u4"), _joined(table, "starts", "<u4")
         keep = np.flatnonzero(mine)
         keep = keep[np.argsort(part[keep], kind="stable")]
-        out = [(b, row[keep][s].tobytes(), start[keep][s].tobytes(), mine[keep][s].astype("<i8").tobytes()) for b, s in _by_bucket(part[keep])]
+        out = [(b, _packed(row[keep][s], "<u4"), _packed(start[keep][s], "<u4"), _packed(mine[keep][s], "<i8")) for b, s in _by_bucket(part[keep])]
         cols = [*zip(*out, strict=True)] or [[], [], [], []]
         return pa.table({"part": pa.array(cols[0], pa.int64()), **{c: pa.array(x, pa.binary()) for c, x in zip(("rows", "starts", "marks"), cols[1:], strict=True)}})
 
@@ -452,10 +471,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, taps: int = 24, entries: i
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total * 2 / (length - taps + 2)) // entries))
     scanned = rows.mapInArrow(_scan(home, length, taps, buckets, part_bytes), ENTRIES)
-    shared = settle(scanned.groupBy("bucket").applyInArrow(_shared(), SHARED), f"{home}/shared")
+    shared = settle(scanned.groupBy("bucket").applyInArrow(_shared(), SHARED), f"{home}/shared", drop=True)
     parts = max(1, -(-total // part_bytes))  # a task for each part: its work follows its text, not what the shuffle moves
     pieces = shared.repartition(parts, "part").groupBy("part").applyInArrow(_cut(home, length, taps, buckets, 4 * buckets), PIECES)
-    marks = settle(pieces.groupBy("bucket").applyInArrow(_mark(length), MARKS), f"{home}/marks")
+    marks = settle(pieces.groupBy("bucket").applyInArrow(_mark(length), MARKS), f"{home}/marks", drop=True)
     every = shared.filter("bucket < 0").select("part", *[F.lit(b"").alias(c) for c in ("rows", "starts", "marks")])
     return marks.unionByName(every).repartition(parts, "part").groupBy("part").applyInArrow(_remove(home, length), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 

@@ -90,17 +90,24 @@ def remove(uri: str) -> None:
 #: Bytes of an Arrow batch that a settled stage hands to a Python worker at once.
 BATCH = "16m"
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_DROP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def settle(df: DataFrame, uri: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+def settle(df: DataFrame, uri: str, drop: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    drop: the shuffle files of the write go when it ends, not when the driver happens to collect its garbage.
+    """
     spark = df.sparkSession
-    before = spark.conf.get(_BATCH_SETTING)
-    spark.conf.set(_BATCH_SETTING, BATCH)
+    own = {_BATCH_SETTING: BATCH} | ({_DROP_SETTING: "true"} if drop else {})
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.mode("overwrite").option("compression", "zstd").parquet(uri)
     finally:
-        spark.conf.set(_BATCH_SETTING, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(uri)
 
 
