@@ -1,7 +1,9 @@
 """Japanese rules on hand-written cases: (case, text, rule, whether it must be found).  Golden, not recomputed."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from textloom.functions.text import strip
 from textloom.operators import findings as fnd
 from textloom.operators.markdown import inline_spans
 from textloom.plans import rules_ja as ja
@@ -186,3 +188,16 @@ def test_lines_without_wide_characters(spark):
     got = {(r.doc_id, r.rule, r.line) for r in rows.collect() if r.rule.startswith("dash_") or r.rule in ("sentence_end_repetition", "dialogue_period")}
     lines.unpersist()
     assert got == {(0, "dash_decoration", 1), (1, "dash_insertion", 1), (2, "dash_decoration", 1), (4, "sentence_end_repetition", 3), (5, "dialogue_period", 1)}
+
+
+def test_lines_stay_out_of_memory(spark):
+    """Lines for the rules are kept on disk, those of documents without wide characters apart and equal texts once."""
+    docs = spark.createDataFrame([(1, "速い。\nplain"), (2, "A `b` c\nplain"), (3, None)], "doc_id long, text string")
+    _, metrics, lines = lint(docs)
+    plan = lines._jdf.queryExecution().withCachedData().toString()
+    assert plan.count("InMemoryRelation") == 2 and plan.count("StorageLevel(disk, 1 replicas)") == 2
+    got = {(r.doc_id, r.line): (r.raw, r.visible, r.scan, r.is_wide) for r in lines.collect()}
+    assert got == {(1, 1): ("速い。",) * 3 + (True,), (1, 2): ("plain",) * 3 + (False,), (2, 1): ("A `b` c", "A     c", "A     c", False), (2, 2): ("plain",) * 3 + (False,), (3, 1): ("",) * 3 + (False,)}
+    assert {r.doc_id: r.total_lines for r in metrics.collect()} == {1: 2, 2: 2, 3: 0}
+    blanks = "　\x85\x1c   "
+    assert spark.createDataFrame([(f"{blanks}a {blanks}b​{blanks}",)], "t string").select(strip(F.col("t"))).first()[0] == f"a {blanks}b​"
