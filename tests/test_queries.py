@@ -1,11 +1,14 @@
 """Every registered query with SQL against DuckDB on the smallest tables, and none of them empty for nothing."""
 
+import difflib
 import os
+import random
 
 import duckdb
 import pytest
 
 from textloom import queries as core
+from textloom.operators import matching
 from tools_compare import TABLES, canonical
 
 DIR = "/root/testdata/sf0.001"
@@ -76,3 +79,28 @@ def test_bigram_pairing_of_whole_texts(spark):
     right = spark.createDataFrame([(9, "Oh, the quick brown fox 🎉é"), (7, "Oh, the quick brown fox 🎉é"), (None, "Oh, the quick brown fox 🎉é"), (4, "the"), (5, ""), (6, None)], "id long, text string")
     assert [(r.l_id, r.r_id, r.both, r.union) for r in core.dff.best_texts(left, right).collect()] == [(1, 7, 21, 25)]
     assert core.dff.best_texts(left.limit(0), right).count() == 0
+
+
+def test_matching_is_that_of_difflib(monkeypatch):
+    """The same operations and the same nearest text, with tables and without, also for long equal runs."""
+    rng = random.Random(1)
+    for n in range(400):
+        a, b = ("".join(rng.choice("ab c語🎉"[: 2 + n % 5]) for _ in range(rng.randint(0, 40))) for _ in "ab")
+        if n % 9 == 0:
+            b = a * 3
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False)
+        monkeypatch.setattr(matching, "TABLE", (1 << 24, 200)[n % 2])
+        assert matching.Matcher(a, b).get_opcodes() == want.get_opcodes() and matching.Matcher(a, b).ratio() == want.ratio()
+    for n in range(200):
+        *olds, new = ("".join(rng.choice("ab cd") for _ in range(rng.randint(0, 12))) for _ in range(6))
+        olds = list(dict.fromkeys(olds))
+        ratios = [difflib.SequenceMatcher(None, a, new, autojunk=False).ratio() for a in olds]
+        k = max(range(len(olds)), key=lambda i: (ratios[i], -i))
+        assert matching.nearest(olds, new, 0.45) == ((k, ratios[k]) if ratios[k] >= 0.45 else (-1, 0.0))
+
+
+def test_alignment_in_bounded_batches(spark):
+    """A batch of many pairs is handed back in parts, and sentences don't go to Python pair by pair."""
+    pairs = spark.range(300).select(core.F.col("id").alias("pair_id"), core.F.repeat(core.F.lit("ab"), 60).alias("orig"), core.F.repeat(core.F.lit("ac"), 60).alias("rewrite")).coalesce(1)
+    changes = core.dff.ending_changes(core.dff.side_sentences(pairs), core.F.col("sentence"))
+    assert "FlatMapGroups" not in changes._jdf.queryExecution().toString() and changes.count() == 300

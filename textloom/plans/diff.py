@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
 from textloom.operators.markdown import lines_of, parse_documents
+from textloom.operators.matching import nearest
 from textloom.operators.segments import pieces
 
 # What counts as a content word, a list row, a heading mark.
 CONTENT = r"[一-龥々〆ヵヶ]{2,}|[ァ-ヴー]{2,}|[A-Za-z][A-Za-z0-9_.+#/-]+"
 LIST_ROW = r"(?m)^[ \t]*(?:[*\-・]|[0-9]+[.)])[ \t]+"
 HEADING_MARK = r"(?m)^#+[ \t]*"
+# Pairs taken out of a batch at once.
+SLICE = 100
 
 
 def normal(text: Column) -> Column:
@@ -167,35 +170,33 @@ def best_texts(left: DataFrame, right: DataFrame, least: float = 0.2) -> DataFra
     return best.select("l_id", "x.r_id", "x.both", "x.union")
 
 
-def _ratio_stage(kind: str):
-    def changes(table: pa.Table) -> pa.Table:
-        rows = table.sort_by([("seq", "ascending")]).to_pylist()
-        olds: dict[str, dict] = {}
-        for r in rows:
-            if r["side"] == "orig":
-                olds.setdefault(r["sentence"], r)
-        out = []
-        for r in rows:
-            if r["side"] == "orig":
-                continue
-            best, score = (olds[r["sentence"]], 1.0) if r["sentence"] in olds else (None, 0.0)
-            if best is None:
-                match = difflib.SequenceMatcher(None, "", r["sentence"], autojunk=False)
-                for text, old in olds.items():
-                    match.set_seq1(text)
-                    if match.real_quick_ratio() > score and match.quick_ratio() > score and (now := match.ratio()) > score:
-                        best, score = old, now
-            if best and score >= 0.45 and best["kind"] != r["kind"]:
-                out.append({"pair_id": r["pair_id"], "orig": best["sentence"], "orig_kind": best["kind"], "rewrite": r["sentence"], "rewrite_kind": r["kind"]})
-        return pa.Table.from_pylist(out, pa.schema([("pair_id", pa.int64()), *((c, pa.string()) for c in ("orig", "orig_kind", "rewrite", "rewrite_kind"))]))
-
-    return changes
+CHANGES = ("orig", "orig_kind", "rewrite", "rewrite_kind")
+
+
+def _ratio_stage(batches):
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            out = []
+            for row in batch.slice(low, SLICE).to_pylist():
+                olds: dict[str, dict] = {}
+                for r in row["orig"]:
+                    olds.setdefault(r["sentence"], r)
+                texts = list(olds)
+                for r in row["rewrite"]:
+                    best = olds.get(r["sentence"])
+                    if best is None and (k := nearest(texts, r["sentence"], 0.45)[0]) >= 0:
+                        best = olds[texts[k]]
+                    if best and best["kind"] != r["kind"]:
+                        out.append((row["pair_id"], best["sentence"], best["kind"], r["sentence"], r["kind"]))
+            cols = [*zip(*out, strict=True)] or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 4), strict=True)], ["pair_id", *CHANGES])
 
 
 def ending_changes(sentences: DataFrame, kind: Column) -> DataFrame:
     """Rewritten sentences whose most similar original (ratio 0.45 or more, the first of equals) ends in another kind."""
-    rows = sentences.withColumn("kind", kind).select(F.col("pair_id").cast("long").alias("pair_id"), "side", "seq", "sentence", "kind")
-    return rows.groupBy("pair_id").applyInArrow(_ratio_stage("kind"), "pair_id long, orig string, orig_kind string, rewrite string, rewrite_kind string")
+    rows = sentences.withColumn("kind", kind).select(F.col("pair_id").cast("long").alias("pair_id"), "side", F.struct("seq", "sentence", "kind").alias("x"))
+    side = lambda c: F.array_sort(F.collect_list(F.when(F.col("side") == c, F.col("x")))).alias(c)
+    return rows.groupBy("pair_id").agg(side("orig"), side("rewrite")).mapInArrow(_ratio_stage, "pair_id long, " + ", ".join(f"{c} string" for c in CHANGES))
 
 
 def headings(pairs: DataFrame) -> DataFrame:
