@@ -5,6 +5,7 @@ import os
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from textloom import queries as core
@@ -102,5 +103,8 @@ def test_matching_is_that_of_difflib(monkeypatch):
 def test_alignment_in_bounded_batches(spark):
     """A batch of many pairs is handed back in parts, and sentences don't go to Python pair by pair."""
     pairs = spark.range(300).select(core.F.col("id").alias("pair_id"), core.F.repeat(core.F.lit("ab"), 60).alias("orig"), core.F.repeat(core.F.lit("ac"), 60).alias("rewrite")).coalesce(1)
+    batch = pa.RecordBatch.from_pydict({"pair_id": [*range(300)], "orig": ["ab" * 60] * 300, "rewrite": ["ac" * 60] * 300})
+    sizes = [b.num_rows for b in core.dff.opcodes_stage([batch])]
+    assert max(sizes) == 5_000 and sum(sizes) == core.dff.opcodes(pairs).count() == 300 * 120
     changes = core.dff.ending_changes(core.dff.side_sentences(pairs), core.F.col("sentence"))
     assert "FlatMapGroups" not in changes._jdf.queryExecution().toString() and changes.count() == 300

@@ -6,8 +6,6 @@ Input: pairs(pair_id, orig, rewrite).  Everything here is DataFrame expressions
 
 from __future__ import annotations
 
-import difflib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,15 +13,15 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import strip
 from textloom.operators.markdown import lines_of, parse_documents
-from textloom.operators.matching import nearest
+from textloom.operators.matching import Matcher, nearest
 from textloom.operators.segments import pieces
 
 # What counts as a content word, a list row, a heading mark.
 CONTENT = r"[一-龥々〆ヵヶ]{2,}|[ァ-ヴー]{2,}|[A-Za-z][A-Za-z0-9_.+#/-]+"
 LIST_ROW = r"(?m)^[ \t]*(?:[*\-・]|[0-9]+[.)])[ \t]+"
 HEADING_MARK = r"(?m)^#+[ \t]*"
-# Pairs taken out of a batch at once.
-SLICE = 100
+# Pairs taken out of a batch at once, rows handed back at once.
+SLICE, ROWS = 100, 5_000
 
 
 def normal(text: Column) -> Column:
@@ -268,17 +266,33 @@ def heading_shapes(rows: DataFrame) -> DataFrame:
     )
 
 
-def opcodes(pairs: DataFrame) -> DataFrame:
-    """pair_id, seq, tag, i1, i2, j1, j2: how the characters of orig become those of rewrite."""
+OPCODES = "pair_id long, seq int, tag string, i1 int, i2 int, j1 int, j2 int"
+
+
+def _opcode_batch(out: list[tuple]) -> pa.RecordBatch:
+    cols = [*zip(*out, strict=True)] or [[]] * 7
+    kinds = (pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 4)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in OPCODES.split(", ")])
 
-    def stage(batches):
-        for batch in batches:
-            out = [(p, k, *op) for p, a, b in zip(*(batch.column(c).to_pylist() for c in ("pair_id", "orig", "rewrite")), strict=True) for k, op in enumerate(difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).get_opcodes())]
-            cols = [*zip(*out, strict=True)] or [[]] * 7
-            kinds = (pa.int64(), pa.int32(), pa.string(), *[pa.int32()] * 4)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["pair_id", "seq", "tag", "i1", "i2", "j1", "j2"])
 
-    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "orig", "rewrite").mapInArrow(stage, "pair_id long, seq int, tag string, i1 int, i2 int, j1 int, j2 int")
+def opcodes_stage(batches):
+    """Handed back in parts, since a pair may have as many operations as characters and a batch thousands of pairs."""
+    for batch in batches:
+        out = []
+        for low in range(0, batch.num_rows, SLICE):
+            part = batch.slice(low, SLICE)
+            for p, a, b in zip(*(part.column(c).to_pylist() for c in ("pair_id", "orig", "rewrite")), strict=True):
+                for k, op in enumerate(Matcher(a or "", b or "").get_opcodes()):
+                    out.append((p, k, *op))
+                    if len(out) == ROWS:
+                        yield _opcode_batch(out)
+                        out = []
+        yield _opcode_batch(out)
+
+
+def opcodes(pairs: DataFrame) -> DataFrame:
+    """pair_id, seq, tag, i1, i2, j1, j2: how the characters of orig become those of rewrite."""
+    return pairs.select(F.col("pair_id").cast("long").alias("pair_id"), "orig", "rewrite").mapInArrow(opcodes_stage, OPCODES)
 
 
 # ---- endings by stance -----------------------------------------------------------------------------------------
