@@ -108,3 +108,12 @@ def test_alignment_in_bounded_batches(spark):
     assert max(sizes) == 5_000 and sum(sizes) == core.dff.opcodes(pairs).count() == 300 * 120
     changes = core.dff.ending_changes(core.dff.side_sentences(pairs), core.F.col("sentence"))
     assert "FlatMapGroups" not in changes._jdf.queryExecution().toString() and changes.count() == 300
+
+
+def test_runs_take_one_window(spark):
+    """The third of a run counts once, and one window finds it."""
+    rows = spark.createDataFrame([(1, n, k) for n, k in enumerate(["a", "a", "a", "a", None, "b", "b", None, None, None, "c", "c", "c"])], "doc_id long, seq int, k string")
+    runs = core.seg.ending_runs(rows, core.F.col("k"), ["doc_id"])
+    assert {r.seq for r in runs.collect()} == {2, 12}
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1

@@ -34,10 +34,12 @@ def ending_runs(sentences: DataFrame, kind: Column, by: list[str], order: str =
     """The ``at``-th sentence of every run of at least ``at`` sentences with one kind; a null kind breaks runs."""
     w = Window.partitionBy(*by).orderBy(order)
     rows = sentences.withColumn("kind", kind)
-    rows = rows.withColumn("same", F.coalesce(F.lag("kind").over(w) == F.col("kind"), F.lit(False)))
-    rows = islands(rows, by, order, F.col("same"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by, "island").orderBy(order)))
-    return rows.filter(F.col("kind").isNotNull() & (F.col("nth") == at)).drop("same", "island", "nth")
+    # the at-th of a run: the at - 1 before it have its kind, the one before those hasn't; all in one window
+    rows = rows.withColumns({f"_{n}": F.coalesce(F.lag("kind", n).over(w) == F.col("kind"), F.lit(False)) for n in range(1, at + 1)})
+    hit = ~F.col(f"_{at}")
+    for n in range(1, at):
+        hit = hit & F.col(f"_{n}")
+    return rows.filter(F.col("kind").isNotNull() & hit).drop(*[f"_{n}" for n in range(1, at + 1)])
 
 
 def with_neighbours(sentences: DataFrame, by: list[str], order: str = "seq") -> DataFrame:
